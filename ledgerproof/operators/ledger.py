@@ -222,6 +222,26 @@ def _moving(rows: Ordered) -> Ordered:
     return rows.over(with_movements(rows.df))
 
 
+STRATEGIES = ("always_enable", "always_disable", "voting")
+
+
+def run_strategies(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
+    """Summaries under each fee strategy. Ordering does not depend on the strategy, so rows
+    fan out by three only after the ties are resolved, just before the replay."""
+    chosen = F.col("strategy")
+
+    def replay_all(rows: Ordered) -> DataFrame:
+        ordered = resolve_ties(rows)
+        df = ordered.df.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
+        forced = {u: F.when(chosen == "voting", F.col(u)).otherwise(chosen == "always_enable") for u in USES}
+        df = with_movements(df.withColumns(forced))
+        fanned = Ordered(df, ("strategy", *ordered.keys), ordered.order, len(STRATEGIES) * ordered.blocks)
+        return replayed(fanned)
+
+    flagged = flag_special(flag_duplicates(txn))
+    return summarise(_split_scan(flagged, _run_facts, replay_all, sizing), ("strategy", "run_id"))
+
+
 def undated_rows(txn: DataFrame) -> DataFrame:
     """Rows `verify` leaves out, counted per run."""
     lost = txn.filter(F.col("txn_date").isNull() & (F.col("format") != "format_2"))
@@ -235,7 +255,7 @@ def _two_places(col: Column) -> Column:
     return col.cast("decimal(38,2)").cast("string")
 
 
-def summarise(processed: DataFrame) -> DataFrame:
+def summarise(processed: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
     """One row per statement: totals, closing comparison, drift, verdict and reason."""
     c = F.col
     by_word = (c("format") == "format_1") & ~c("is_signed")
@@ -244,7 +264,7 @@ def summarise(processed: DataFrame) -> DataFrame:
     debit = F.when(by_word, A.is_debit(c("txn_direction"))).otherwise(c("amount") < 0)
     debited = F.when(by_word, amount).otherwise(-amount)
     zero = F.lit(0).cast(A.MONEY)
-    agg = processed.groupBy("run_id").agg(
+    agg = processed.groupBy(*keys).agg(
         F.any_value("acc_prvdr_code").alias("acc_prvdr_code"),
         F.any_value("format").alias("format"),
         F.count(F.lit(1)).alias("num_rows"),

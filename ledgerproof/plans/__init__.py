@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from ledgerproof.plans import q_forensic, q_ledger  # noqa: F401
+from ledgerproof.plans import q_forensic, q_ledger, q_reports  # noqa: F401
 from ledgerproof.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
