@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import amounts as A
-from ledgerproof.operators.sequence import ARRIVAL, DEBIT_FIRST, Ordered, Sizing, scan
+from ledgerproof.operators.sequence import ARRIVAL, DEBIT_FIRST, Ordered, Sizing, plain, scan, split_hot
 
 RUN = ["run_id"]
 DUPLICATE_KEYS = ["run_id", "txn_id", "txn_date", "amount", "description"]
@@ -44,8 +45,22 @@ def flag_later_copies(df: DataFrame, keys: list[str], name: str, where: Column |
     return out.drop("_first", *[f"_k_{k}" for k in keys])
 
 
-def flag_duplicates(txn: DataFrame) -> DataFrame:
-    return flag_later_copies(txn, DUPLICATE_KEYS, "is_duplicate")
+def mark_duplicates(rows: Ordered) -> Ordered:
+    """All but the first arrival of rows equal in id, time, amount and text.
+
+    In ordinary runs a window within the partitions the replay needs anyway; hot runs are
+    counted instead, as one group of copies may be most of such a run.
+    """
+    if rows.blocks:
+        return rows.over(flag_later_copies(rows.df, DUPLICATE_KEYS, "is_duplicate"))
+    copies = W.partitionBy(*DUPLICATE_KEYS).orderBy("seq")
+    return rows.with_column("is_duplicate", F.row_number().over(copies) > 1)
+
+
+def flag_duplicates(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
+    cold, hot, _ = split_hot(txn, RUN, sizing.hot_rows, sizing.at_most)
+    out = mark_duplicates(plain(cold, RUN, ARRIVAL)).df
+    return out if hot is None else out.unionByName(flag_later_copies(hot, DUPLICATE_KEYS, "is_duplicate"))
 
 
 def special_type(description: Column) -> Column:

@@ -10,15 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.amounts import TOLERANCE
-from ledgerproof.operators.sequence import Ordered, Sizing, scan
-
-BY_BALANCE = (
-    "txn_date IS NULL",
-    "coalesce(txn_date, TIMESTAMP '1970-01-01 00:00:00')",
-    "balance IS NOT NULL",
-    "coalesce(balance, 0)",
-    "seq",
-)
+from ledgerproof.operators.sequence import Ordered, Sizing, Sort, scan
+
+BY_BALANCE = (Sort("txn_date"), Sort("balance", nulls_first=True), Sort("seq"))
 
 
 # -- mismatches ----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, scan
+from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, Sort, scan
 
 RUN = ["run_id"]
 
@@ -112,7 +112,7 @@ def backward_steps(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     def step(rows: Ordered) -> DataFrame:
         return rows.lag(F.col("txn_date"), "_before").df
 
-    out = scan(txn.select("run_id", "seq", "txn_date"), RUN, ("seq",), step, sizing)
+    out = scan(txn.select("run_id", "seq", "txn_date"), RUN, (Sort("seq"),), step, sizing)
     return out.groupBy("run_id").agg(F.count_if(F.col("_before") > F.col("txn_date")).alias("non_chronological_count"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import amounts as A
-from ledgerproof.operators.detect import VOTES, flag_duplicates, flag_special, mark_votes, signed_runs
+from ledgerproof.operators.detect import VOTES, flag_special, mark_duplicates, mark_votes, signed_runs
 from ledgerproof.operators.sequence import (
     ARRIVAL,
     BLOCK,
@@ -27,7 +27,7 @@ from ledgerproof.operators.sequence import (
     scan,
     split_hot,
 )
-from ledgerproof.operators.ties import resolve_ties
+from ledgerproof.operators.ties import resolve_ties, tie_delta
 
 RUN = ("run_id",)
 DAY_SECONDS = 24 * 3600
@@ -199,27 +199,48 @@ def replayed(rows: Ordered, gap_days: float = 1.0) -> DataFrame:
     return out.drop(*drop, "_delta", "_opening", "_carried", "_tie", BLOCK)
 
 
-def _split_scan(txn: DataFrame, arrival, printed, sizing: Sizing) -> DataFrame:
-    """Ordinary runs: every window shares one shuffle on run_id. Hot runs: two layouts."""
+# Columns the replay and the summary read; further ones ride along only when asked for.
+NEEDED = (
+    "run_id", "acc_prvdr_code", "format", "seq", "txn_date", "txn_direction", "amount", "fee", "balance",
+    "is_duplicate", "special_txn_type", "is_signed", *USES,
+)
+
+
+def _prepared(rows: Ordered) -> DataFrame:
+    """Signs, duplicate and special flags, run facts: windows over one shuffle on run_id."""
+    return _run_facts(mark_duplicates(_normalised(rows.over(flag_special(rows.df)))))
+
+
+def _split_scan(txn: DataFrame, printed, sizing: Sizing) -> DataFrame:
+    """Ordinary runs: two shuffles, both on run_id. Hot runs: one layout per order."""
     cold, hot, n = split_hot(txn, RUN, sizing.hot_rows, sizing.at_most)
-    out = printed(plain(arrival(plain(cold, RUN, ARRIVAL)), RUN, PRINTED))
+    out = printed(plain(_prepared(plain(cold, RUN, ARRIVAL)), RUN, PRINTED))
     if hot is None:
         return out
-    known = arrival(blocked(hot, RUN, ARRIVAL, n, sizing.block_rows)).drop(BLOCK)
+    known = _prepared(blocked(hot, RUN, ARRIVAL, n, sizing.block_rows)).drop(BLOCK)
     return out.unionByName(printed(blocked(known, RUN, PRINTED, n, sizing.block_rows)))
 
 
-def verify(txn: DataFrame, sizing: Sizing = Sizing(), sheets: bool = True) -> DataFrame:
+def _with_tie_delta(rows: Ordered) -> Ordered:
+    return rows.with_column("_tie_delta", tie_delta())
+
+
+def verify(txn: DataFrame, sizing: Sizing = Sizing(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Processed rows: signs, flags, order, replay. One row out per row in, except undated
-    rows of the formats that are re-ordered (see `undated_rows`)."""
-    if sheets:
-        txn = normalise_signs(txn, sizing)
-    flagged = flag_special(flag_duplicates(txn))
-    return _split_scan(flagged, _run_facts, lambda rows: replayed(_moving(resolve_ties(rows))), sizing)
+    rows of the formats that are re-ordered (see `undated_rows`).
 
+    `keep` names input columns to carry beyond those in `NEEDED`; by default all.
+    """
+    extra = [c for c in txn.columns if c not in NEEDED] if keep is None else list(keep)
+    extra += ["is_special_txn"] if keep is None else []
+
+    def printed(rows: Ordered) -> DataFrame:
+        slim = with_movements(_with_tie_delta(rows).df).select(
+            *NEEDED, *extra, "_delta", "_opening", "_carried", "_tie_delta", *rows.part[len(rows.keys) :]
+        )
+        return replayed(resolve_ties(rows.over(slim)))
 
-def _moving(rows: Ordered) -> Ordered:
-    return rows.over(with_movements(rows.df))
+    return _split_scan(txn, printed, sizing)
 
 
 STRATEGIES = ("always_enable", "always_disable", "voting")
@@ -231,15 +252,14 @@ def run_strategies(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     chosen = F.col("strategy")
 
     def replay_all(rows: Ordered) -> DataFrame:
-        ordered = resolve_ties(rows)
+        ordered = resolve_ties(_with_tie_delta(rows))
         df = ordered.df.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
         forced = {u: F.when(chosen == "voting", F.col(u)).otherwise(chosen == "always_enable") for u in USES}
         df = with_movements(df.withColumns(forced))
         fanned = Ordered(df, ("strategy", *ordered.keys), ordered.order, len(STRATEGIES) * ordered.blocks)
         return replayed(fanned)
 
-    flagged = flag_special(flag_duplicates(txn))
-    return summarise(_split_scan(flagged, _run_facts, replay_all, sizing), ("strategy", "run_id"))
+    return summarise(_split_scan(txn, replay_all, sizing), ("strategy", "run_id"))
 
 
 def undated_rows(txn: DataFrame) -> DataFrame:

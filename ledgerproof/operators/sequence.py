@@ -6,8 +6,7 @@ A run above `hot_rows` would land in a single task, so its rows are range-partit
 (key, order) into blocks, written once, scanned per block, and joined with a carry table
 of one row per block: exact results, no task larger than a block.
 
-Order columns are always ascending and never NULL, so the last row of
-a block is a plain `max_by` on the struct of order columns.
+Windows sort on plain columns wherever possible, so windows of one order share one sort.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence as Seq
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,15 +27,34 @@ BLOCK_ROWS = 500_000
 BLOCK = "_block"
 
 
-# Total orders, as SQL expressions; the arrival number `seq` ends each of them.
-_DATED = ("txn_date IS NULL", "coalesce(txn_date, TIMESTAMP '1970-01-01 00:00:00')")
-ARRIVAL = (*_DATED, "seq")
-PRINTED = (*_DATED, "balance IS NULL", "coalesce(-balance, 0)", "seq")
-DEBIT_FIRST = (*_DATED, "CASE WHEN amount < 0 THEN -1 ELSE 1 END", "balance IS NULL", "coalesce(balance, 0)", "seq")
+class Sort(NamedTuple):
+    """One sort key: a column (or SQL expression), and where NULLs go."""
 
+    expr: str
+    desc: bool = False  # numbers only
+    nulls_first: bool = False
 
-def order_struct(order: Seq[str]) -> Column:
-    return F.struct(*[F.expr(e).alias(f"o{i}") for i, e in enumerate(order)])
+    def order(self) -> Column:
+        col = F.col(self.expr) if self.expr.isidentifier() else F.expr(self.expr)
+        if self.desc:
+            return col.desc_nulls_last()
+        return col.asc_nulls_first() if self.nulls_first else col.asc_nulls_last()
+
+    def rank(self) -> list[Column]:
+        """The same order as ascending values, for comparisons inside structs."""
+        col = F.expr(self.expr)
+        return [col.isNotNull() if self.nulls_first else col.isNull(), -col if self.desc else col]
+
+
+# Total orders: the arrival number `seq` ends each of them.
+ARRIVAL = (Sort("txn_date"), Sort("seq"))
+PRINTED = (Sort("txn_date"), Sort("balance", desc=True), Sort("seq"))
+DEBIT_FIRST = (Sort("txn_date"), Sort("CASE WHEN amount < 0 THEN -1 ELSE 1 END"), Sort("balance"), Sort("seq"))
+
+
+def order_struct(order: Seq[Sort]) -> Column:
+    parts = [c for key in order for c in key.rank()]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(parts)])
 
 
 @dataclass(frozen=True)
@@ -44,7 +63,7 @@ class Ordered:
 
     df: DataFrame
     keys: tuple[str, ...]
-    order: tuple[str, ...]
+    order: tuple[Sort, ...]
     blocks: int = 0  # 0: every key fits one task; else the number of range blocks
 
     @property
@@ -53,7 +72,7 @@ class Ordered:
 
     @property
     def window(self):
-        return W.partitionBy(*self.part).orderBy(*map(F.expr, self.order))
+        return W.partitionBy(*self.part).orderBy(*[k.order() for k in self.order])
 
     @property
     def so_far(self):
@@ -151,17 +170,17 @@ def split_hot(
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi"), n_rows
 
 
-def plain(df: DataFrame, keys: Seq[str], order: Seq[str]) -> Ordered:
+def plain(df: DataFrame, keys: Seq[str], order: Seq[Sort]) -> Ordered:
     return Ordered(df, tuple(keys), tuple(order))
 
 
 def blocked(
-    df: DataFrame, keys: Seq[str], order: Seq[str], rows: int, block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: Seq[str], order: Seq[Sort], rows: int, block_rows: int = BLOCK_ROWS
 ) -> Ordered:
     """Lay hot rows out in range blocks. Written to the shared folder, because range bounds
     are sampled anew whenever a plan is evaluated and the block numbers must not move."""
     n = max(2, math.ceil(rows / block_rows))
-    laid = df.repartitionByRange(n, *keys, *map(F.expr, order)).withColumn(BLOCK, F.spark_partition_id())
+    laid = df.repartitionByRange(n, *keys, *[k.order() for k in order]).withColumn(BLOCK, F.spark_partition_id())
     return Ordered(materialise(laid, "blocks"), tuple(keys), tuple(order), n)
 
 
@@ -174,7 +193,7 @@ class Sizing:
     at_most: int | None = None
 
 
-def scan(df: DataFrame, keys: Seq[str], order: Seq[str], step, sizing: Sizing = Sizing()) -> DataFrame:
+def scan(df: DataFrame, keys: Seq[str], order: Seq[Sort], step, sizing: Sizing = Sizing()) -> DataFrame:
     """Run `step(Ordered) -> DataFrame` on ordinary and, if there are any, on hot keys."""
     cold, hot, rows = split_hot(df, keys, sizing.hot_rows, sizing.at_most)
     out = step(plain(cold, keys, order))

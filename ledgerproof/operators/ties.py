@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerproof.functions import amounts as A
-from ledgerproof.operators.sequence import BLOCK, Ordered
+from ledgerproof.operators.sequence import BLOCK, Ordered, Sort
 from ledgerproof.session import broadcast_if_small
 
 MAX_TIED = 6
@@ -39,13 +39,13 @@ WORK = ["_tie_balance", "_tie_delta", "_head", "_head_balance"]
 
 
 def tie_delta() -> Column:
-    """The apply rule with both implicit fees on, whatever the run's votes say."""
+    """The apply rule with both implicit fees on, whatever the run's votes say, in whole units."""
     c = F.col
     moved = A.movement(c("acc_prvdr_code"), c("format"), c("is_signed"), c("txn_type"), c("txn_direction"), c("amount"))
     implicit = F.when(c("acc_prvdr_code") == "UMTN", F.lit(0).cast(A.MONEY)).otherwise(
         A.implicit_fee(c("amount"), c("description"), F.lit(True), F.lit(True))
     )
-    return A.apply_delta(moved, A.money(c("fee")), implicit)
+    return _whole(A.apply_delta(moved, A.money(c("fee")), implicit))
 
 
 def _whole(col: Column) -> Column:
@@ -56,8 +56,8 @@ def mark_open(rows: Ordered) -> Ordered:
     """`_open`: the row is in a group to be ordered; `_head`: no open group precedes it.
 
     For hot runs a small group cut by a block border is moved whole into the earlier block.
+    Expects `_tie_delta`; everything here shares the one sort of the printed order.
     """
-    tieable = F.col("format") != "format_2"
     df = rows.df
     if rows.blocks:
         counts = df.groupBy(*rows.keys, "txn_date", BLOCK).agg(F.count(F.lit(1)).alias("_n"))
@@ -71,22 +71,22 @@ def mark_open(rows: Ordered) -> Ordered:
         df = df.withColumn(BLOCK, F.when(F.col("_whole") <= MAX_TIED, F.col("_home")).otherwise(F.col(BLOCK)))
     else:
         df = df.withColumn("_whole", F.lit(None).cast("long"))
-    tied = F.count(F.lit(1)).over(W.partitionBy(*rows.part, "txn_date"))
-    df = df.withColumn("_tied", F.coalesce(F.col("_whole"), tied)).drop("_whole", "_home")
-    first = rows.over(df).per_key(_first_ts=F.min("txn_date"))
-    is_open = tieable & F.col("_tied").between(2, MAX_TIED) & (F.col("txn_date") > F.col("_first_ts"))
-    opened = first.with_column("_open", F.coalesce(is_open, F.lit(False)))
-    before = opened.lag(F.struct(F.col("_open").alias("open"), F.col("balance").alias("balance")), "_prev")
-    head = F.col("_open") & ~F.coalesce(F.col("_prev")["open"], F.lit(False))
-    return before.over(
-        before.df.withColumns(
-            {
-                "_head": head,
-                "_head_balance": F.when(head, _whole(F.col("_prev")["balance"])),
-                "_tie_balance": _whole(F.col("balance")),
-                "_tie_delta": _whole(tie_delta()),
-            }
-        ).drop("_prev", "_tied", "_first_ts")
+    seen = rows.over(df.withColumn("_tie_balance", _whole(F.col("balance"))))
+    seen = seen.lag(F.struct(F.col("txn_date").alias("ts"), F.col("_tie_balance").alias("balance")), "_prev")
+    # Rows of the same timestamp are peers of this frame.
+    peers = W.partitionBy(*rows.part).orderBy(F.col("txn_date").asc_nulls_last()).rangeBetween(W.currentRow, W.currentRow)
+    tied = F.coalesce(F.col("_whole"), F.count(F.lit(1)).over(peers))
+    first = seen.with_column("_tied", tied).per_key(_first_ts=F.min("txn_date"))
+    is_open = (
+        (F.col("format") != "format_2") & F.col("_tied").between(2, MAX_TIED) & (F.col("txn_date") > F.col("_first_ts"))
+    )
+    opened = first.with_column("_open", F.coalesce(is_open, F.lit(False))).lag(F.col("_open"), "_prev_open")
+    starts = ~F.col("txn_date").eqNullSafe(F.col("_prev")["ts"])
+    head = F.col("_open") & starts & ~F.coalesce(F.col("_prev_open"), F.lit(False))
+    return opened.over(
+        opened.df.withColumn("_head", head)
+        .withColumn("_head_balance", F.when(F.col("_head"), F.col("_prev")["balance"]))
+        .drop("_prev", "_prev_open", "_tied", "_first_ts", "_whole", "_home")
     )
 
 
@@ -173,14 +173,16 @@ def _walk(table: pa.Table, keys: list[str], chain: _Chain, lanes: bool):
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Re-cut batches so that no group is split."""
+    """Re-cut batches so that no open group is split. At most six rows are held back."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None:
             table = pa.concat_tables([rest, table])
-        last = np.flatnonzero(_starts(table, keys))
-        cut = int(last[-1]) if len(last) else 0
+        cut = table.num_rows
+        if cut and table["_open"][-1].as_py():
+            tail = table.slice(max(0, cut - MAX_TIED - 1))
+            cut -= tail.num_rows - int(np.flatnonzero(_starts(tail, keys))[-1])
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
@@ -189,19 +191,24 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def _order_rows(keys: list[str], entries: bool):
-    """Arrow function: append `_tie`, the place of each row in its group."""
+    """Arrow function: append `_tie`, the place of each row in its group (0 elsewhere)."""
+    narrow = [*keys, *WORK, *(["_entry"] if entries else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = _Chain()
         for table in _whole_groups(batches, keys):
+            at = np.flatnonzero(table["_open"].combine_chunks().to_numpy(zero_copy_only=False))
             tie = np.zeros(table.num_rows, np.int32)
-            for part in _parts(table) if entries else [(0, table)]:
-                offset, piece = part
+            opened = table.select(narrow).take(at)
+            for offset, piece in _parts(opened) if entries else [(0, opened)]:
+                if not piece.num_rows:
+                    continue
                 if entries:
                     _enter(chain, piece)
                 for start, n, orders in _walk(piece, keys, chain, lanes=False):
-                    tie[offset + start + orders[0]] = np.arange(n)
-            yield from table.append_column("_tie", pa.array(tie)).to_batches()
+                    tie[at[offset + start + orders[0]]] = np.arange(n)
+            out = table.drop_columns([c for c in (*WORK, "_open", "_entry") if c in table.column_names])
+            yield from out.append_column("_tie", pa.array(tie)).to_batches()
 
     return run
 
@@ -223,12 +230,16 @@ def _enter(chain: _Chain, piece: pa.Table) -> None:
         chain.states = np.zeros(1, np.int64)
 
 
+def _placed(df: DataFrame, keys: list[str], entries: bool) -> DataFrame:
+    """All rows in one narrow pass over partitions the windows have sorted already."""
+    kept = [f for f in df.schema.fields if f.name not in (*WORK, "_open", "_entry")]
+    schema = T.StructType([*kept, T.StructField("_tie", T.IntegerType())])
+    return df.mapInArrow(_order_rows(keys, entries), schema)
+
+
 def order_plain(rows: Ordered) -> DataFrame:
-    """Open rows of ordinary runs: one narrow pass over the sorted partitions."""
-    df = rows.df.filter("_open")
-    schema = T.StructType([*df.schema.fields, T.StructField("_tie", T.IntegerType())])
-    laid = df.repartition(*rows.part).sortWithinPartitions(*rows.part, *map(F.expr, rows.order))
-    return laid.mapInArrow(_order_rows([*rows.part, "txn_date"], entries=False), schema)
+    laid = rows.df.sortWithinPartitions(*rows.part, *[k.order() for k in rows.order])
+    return _placed(laid, [*rows.part, "txn_date"], entries=False)
 
 
 # -- hot runs: compose the blocks' tables first -------------------------------------------
@@ -238,7 +249,7 @@ def _block_table(keys: list[str], names: list[str]):
     """Per block: entry row (of the block before) -> row the block's last group ends on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_o")])
+        pdf = pdf.sort_values("_at")
         chain = _Chain()
         entry = pdf["_candidates"].iloc[0]
         lanes = MAX_TIED
@@ -277,62 +288,52 @@ def _compose(names: list[str]):
     return run
 
 
-def order_blocked(rows: Ordered) -> DataFrame:
-    """Open rows of hot runs."""
-    keys = [*rows.part, "txn_date"]
-    df = rows.df
-    opened = df.filter("_open")
-    edge = broadcast_if_small(
-        rows.per_block(F.max("txn_date").alias("_hi"), F.min("txn_date").alias("_lo")), 2 * rows.blocks
-    )
+def _entry_states(rows: Ordered) -> DataFrame:
+    """Per continued block of a hot run: the balance its first group starts from."""
+    opened = rows.df.filter("_open").withColumn("_at", F.row_number().over(rows.window))
+    edge = rows.per_block(F.max("txn_date").alias("_hi"), F.min("txn_date").alias("_lo"))
+    edge = broadcast_if_small(edge, 2 * rows.blocks)
     # The last group of a block when it is open: at most six balances in printed order.
+    listed = F.sort_array(F.collect_list(F.struct("_at", F.col("_tie_balance").alias("balance"))))
     last = (
         opened.join(edge, rows.part)
         .filter("txn_date = _hi")
         .groupBy(*rows.part)
-        .agg(F.sort_array(F.collect_list(F.struct(rows.rank.alias("o"), F.col("_tie_balance").alias("balance")))).alias("_l"))
-        .select(*rows.part, F.transform("_l", lambda e: e["balance"]).alias("_last"))
+        .agg(F.transform(listed, lambda e: e["balance"]).alias("_last"))
     )
-    starts = opened.join(edge, rows.part).filter("txn_date = _lo and not _head").select(*rows.part).distinct()
-    # Per block: candidates come from the nearest earlier block of the run.
-    border = edge.select(*rows.part).join(last, rows.part, "left")
+    starts = opened.join(edge, rows.part).filter("txn_date = _lo").groupBy(*rows.part).agg((~F.bool_or("_head")).alias("continued"))
     before = W.partitionBy(*rows.keys).orderBy(BLOCK)
-    border = border.withColumn("_candidates", F.lag("_last").over(before)).drop("_last")
-    border = border.join(starts.withColumn("continued", F.lit(True)), rows.part, "left")
-    border = border.select(*rows.part, "_candidates", F.coalesce("continued", F.lit(False)).alias("continued"))
+    border = edge.select(*rows.part).join(last, rows.part, "left").withColumn("_candidates", F.lag("_last").over(before))
+    border = border.join(starts, rows.part, "left").select(*rows.part, "_candidates", F.coalesce("continued", F.lit(False)).alias("continued"))
     border = broadcast_if_small(border, 2 * rows.blocks)
-
-    slim = opened.select(
-        *keys, "_tie_balance", "_tie_delta", "_head", "_head_balance", *[F.expr(e).alias(f"_o{i}") for i, e in enumerate(rows.order)]
-    ).join(border, rows.part)
+    slim = opened.select(*rows.part, "txn_date", "_at", "_tie_balance", "_tie_delta", "_head", "_head_balance").join(border, rows.part)
     names = [*rows.part, "continued"]
-    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in rows.part)
+    kinds = ", ".join(f"{n} {rows.df.schema[n].dataType.simpleString()}" for n in rows.part)
     table = slim.groupBy(*names).applyInPandas(
-        _block_table(keys, names), f"{kinds}, continued boolean, exit_rows array<bigint>"
+        _block_table([*rows.part, "txn_date"], names), f"{kinds}, continued boolean, exit_rows array<bigint>"
     )
     # A block without open rows breaks the chain, so its successor is not `continued`.
     states = table.groupBy(*rows.keys).applyInPandas(_compose(rows.part), f"{kinds}, _state int")
-    entries = (
+    return (
         states.filter(F.col("_state") != NO_ENTRY)
         .join(border, rows.part)
         .select(*rows.part, F.struct(F.get("_candidates", F.col("_state")).alias("balance")).alias("_entry"))
     )
-    entries = broadcast_if_small(entries, 2 * rows.blocks)
-    laid = opened.join(edge.drop("_hi"), rows.part).join(entries, rows.part, "left")
-    laid = laid.withColumn("_entry", F.when((F.col("txn_date") == F.col("_lo")) & ~F.col("_head"), F.col("_entry"))).drop("_lo")
-    laid = laid.repartition(*rows.part).sortWithinPartitions(*rows.part, *map(F.expr, rows.order))
+
+
+def order_blocked(rows: Ordered) -> DataFrame:
+    entries = broadcast_if_small(_entry_states(rows), 2 * rows.blocks)
+    laid = rows.df.join(entries, rows.part, "left")
     first = F.row_number().over(rows.window) == 1
     laid = laid.withColumn("_entry", F.when(first, F.col("_entry")))
-    schema = T.StructType([*laid.schema.fields, T.StructField("_tie", T.IntegerType())])
-    return laid.mapInArrow(_order_rows(keys, entries=True), schema).drop("_entry")
+    laid = laid.repartition(*rows.part).sortWithinPartitions(*rows.part, *[k.order() for k in rows.order])
+    return _placed(laid, [*rows.part, "txn_date"], entries=True)
 
 
 def resolve_ties(rows: Ordered) -> Ordered:
     """Adds `_tie`; order by (txn_date, _tie, printed order). Drops undated rows of the
     formats whose groups are ordered, as those never enter a group."""
     marked = mark_open(rows.over(rows.df.filter((F.col("format") == "format_2") | F.col("txn_date").isNotNull())))
-    ordered = order_blocked(marked) if marked.blocks else order_plain(marked)
-    fixed = marked.df.filter(~F.col("_open")).withColumn("_tie", F.lit(0))
-    both = fixed.unionByName(ordered).drop("_open", *WORK)
-    order = (*rows.order[:2], "_tie", *rows.order[2:])
-    return Ordered(both, rows.keys, order, rows.blocks)
+    placed = order_blocked(marked) if marked.blocks else order_plain(marked)
+    order = (rows.order[0], Sort("_tie"), *rows.order[1:])
+    return Ordered(placed, rows.keys, order, rows.blocks)

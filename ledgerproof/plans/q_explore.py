@@ -37,7 +37,7 @@ MISMATCH = {"first_off": "SELECT run_id, min(pos) AS off_pos FROM processed WHER
     MISMATCH,
 )
 def _(t):
-    return explore.first_mismatch(t.processed)
+    return explore.first_mismatch(t.replay)
 
 
 @query(
@@ -46,7 +46,7 @@ def _(t):
     MISMATCH,
 )
 def _(t):
-    return explore.mismatch_context(t.processed).select("run_id", "pos", "before_mismatch", "seq", "balance_diff")
+    return explore.mismatch_context(t.replay).select("run_id", "pos", "before_mismatch", "seq", "balance_diff")
 
 
 PATTERN = {

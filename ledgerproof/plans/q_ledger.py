@@ -24,7 +24,7 @@ def _(t):
 
 @query("d1_duplicates", "SELECT run_id, seq, txn_id, is_duplicate FROM flagged WHERE acc_prvdr_code = 'UATL'")
 def _(t):
-    return detect.flag_duplicates(t.uatl).select("run_id", "seq", "txn_id", "is_duplicate")
+    return detect.flag_duplicates(t.uatl, t.sizing).select("run_id", "seq", "txn_id", "is_duplicate")
 
 
 @query("d2_special_transactions", "SELECT run_id, seq, special_txn_type IS NOT NULL AS is_special_txn, special_txn_type FROM flagged")
@@ -110,28 +110,25 @@ def _(t):
 
 @query("b2_tie_order_format1", "SELECT run_id, seq, pos FROM processed WHERE format = 'format_1'")
 def _(t):
-    return ledger.verify(t.uatl.filter("format = 'format_1'"), t.sizing, sheets=False).select("run_id", "seq", "pos")
+    return ledger.verify(t.uatl.filter("format = 'format_1'"), t.sizing, keep=()).select("run_id", "seq", "pos")
 
 
 @query("b3_tie_order_sheets", "SELECT run_id, seq, pos FROM processed WHERE acc_prvdr_code = 'UMTN'")
 def _(t):
-    return ledger.verify(t.umtn, t.sizing).select("run_id", "seq", "pos")
+    return ledger.verify(t.umtn, t.sizing, keep=()).select("run_id", "seq", "pos")
 
 
 @query("b4_opening_balance", "SELECT run_id, opening::DOUBLE AS opening_balance FROM r1 WHERE pos = 1")
 def _(t):
     # The first row of the final order is the first of the base order: the first group is never re-ordered.
-    def facts(rows):
-        return ledger._run_facts(rows)
-
-    known = scan(detect.flag_special(detect.flag_duplicates(ledger.normalise_signs(t.txn, t.sizing))), RUN, ARRIVAL, facts, t.sizing)
+    known = scan(t.txn, RUN, ARRIVAL, ledger._prepared, t.sizing)
     moved = ledger.with_movements(known.filter("format = 'format_2' or txn_date is not null"))
     return moved.groupBy("run_id").agg(F.min_by("_opening", order_struct(PRINTED)).alias("opening_balance"))
 
 
 @query("b5_apply_rule_first_provider", "SELECT run_id, seq, (s - f - x)::DOUBLE AS delta FROM moved WHERE acc_prvdr_code = 'UATL'")
 def _(t):
-    known = scan(t.uatl, RUN, ARRIVAL, ledger._run_facts, t.sizing)
+    known = scan(t.uatl, RUN, ARRIVAL, ledger._prepared, t.sizing)
     plain = known.withColumns({"is_duplicate": F.lit(False), "special_txn_type": F.lit(None).cast("string")})
     return ledger.with_movements(plain).select("run_id", "seq", F.col("_delta").alias("delta"))
 
@@ -149,17 +146,17 @@ def _(t):
     "SELECT run_id, seq, pos, calc::DOUBLE AS calculated_running_balance FROM processed",
 )
 def _(t):
-    return t.processed.select("run_id", "seq", "pos", "calculated_running_balance")
+    return t.replay.select("run_id", "seq", "pos", "calculated_running_balance")
 
 
 @query("b8_balance_diff", "SELECT run_id, seq, diff::DOUBLE AS balance_diff FROM processed")
 def _(t):
-    return t.processed.select("run_id", "seq", "balance_diff")
+    return t.replay.select("run_id", "seq", "balance_diff")
 
 
 @query("b9_diff_changes", "SELECT run_id, seq, changes AS balance_diff_change_count FROM processed")
 def _(t):
-    return t.processed.select("run_id", "seq", "balance_diff_change_count")
+    return t.replay.select("run_id", "seq", "balance_diff_change_count")
 
 
 @query(
@@ -167,7 +164,7 @@ def _(t):
     "SELECT run_id, count(*) FILTER (WHERE gap) > 0 AS missing_days_detected, count(*) FILTER (WHERE gap) AS gap_related_balance_changes FROM processed GROUP BY run_id",
 )
 def _(t):
-    out = t.processed.groupBy("run_id").agg(F.count_if("gap_related").alias("gap_related_balance_changes"))
+    out = t.replay.groupBy("run_id").agg(F.count_if("gap_related").alias("gap_related_balance_changes"))
     return out.withColumn("missing_days_detected", F.col("gap_related_balance_changes") > 0)
 
 

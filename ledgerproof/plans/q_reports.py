@@ -268,7 +268,7 @@ def _(t):
        FULL JOIN (SELECT run_id, count(*) AS r FROM flagged WHERE acc_prvdr_code = 'UATL' AND num % 10 <> 3 AND (NOT is_duplicate OR num % 2 = 0) GROUP BY run_id) USING (run_id) WHERE l IS DISTINCT FROM r""",
 )
 def _(t):
-    deduped = detect.flag_duplicates(t.uatl).filter("num % 10 <> 3 and (not is_duplicate or num % 2 = 0)")
+    deduped = detect.flag_duplicates(t.uatl, t.sizing).filter("num % 10 <> 3 and (not is_duplicate or num % 2 = 0)")
     return lineage.import_differences(t.uatl.filter("num % 10 <> 4"), deduped)
 
 
@@ -595,7 +595,7 @@ def _(t):
     """SELECT run_id, u.acc_number, u.balance_diff_changes, u.verification_status, n AS reversal_count FROM unified u JOIN (SELECT run_id, count(*) AS n FROM processed WHERE special_txn_type = 'Transaction Reversal' GROUP BY run_id) USING (run_id) WHERE balance_match = 'Failed'""",
 )
 def _(t):
-    return reports.reversals_of_failed(t.unified, t.processed)
+    return reports.reversals_of_failed(t.unified, t.replay)
 
 
 @query(
@@ -608,7 +608,7 @@ def _(t):
 
 @query("a40_provider_rows", "SELECT acc_prvdr_code AS provider, count(*) AS total_transactions, count(*) FILTER (WHERE is_duplicate) AS duplicates FROM processed GROUP BY 1")
 def _(t):
-    return reports.provider_rows(t.processed)
+    return reports.provider_rows(t.replay)
 
 
 @query("a41_accounts_at_several", "SELECT acc_number, string_agg(DISTINCT acc_prvdr_code, ',' ORDER BY acc_prvdr_code) AS providers, count(*) AS statement_count FROM statement_meta GROUP BY 1 HAVING count(DISTINCT acc_prvdr_code) > 1")

@@ -266,7 +266,7 @@ def _(t):
 )
 def _(t):
     n = F.count(F.lit(1))
-    return t.processed.groupBy("run_id").agg(
+    return t.replay.groupBy("run_id").agg(
         F.round(F.max(F.abs("balance_diff")).cast("double"), 5).alias("largest_diff"),
         F.round(F.count_if("diff_changed") / n, 6).alias("change_ratio"),
         F.round(F.count_if("is_duplicate") * 100.0 / n, 2).alias("duplicate_percent"),

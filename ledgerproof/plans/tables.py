@@ -42,10 +42,15 @@ class Tables:
     def processed(self) -> DataFrame:
         return ledger.verify(self.txn, self.sizing)
 
+    @cached_property
+    def replay(self) -> DataFrame:
+        """`processed` without the columns a replay does not read (texts stay behind early)."""
+        return ledger.verify(self.txn, self.sizing, keep=())
+
     @cached_property
     def summary(self) -> DataFrame:
         """One row per statement. Kept, as every report starts from it."""
-        return ledger.summarise(self.processed).persist()
+        return ledger.summarise(self.replay).persist()
 
     @cached_property
     def meta(self) -> DataFrame:

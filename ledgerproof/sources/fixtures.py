@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.operators.sequence import Ordered, Sizing, scan
-
-DATED = ("txn_date", "seq")
-
+from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, scan
 
 def _balances(start: int, rows: DataFrame, sizing: Sizing) -> DataFrame:
     def step(ordered: Ordered) -> DataFrame:
         summed = ordered.running_sum(F.col("delta"), "_moved").df
         return summed.withColumn("balance", (F.col("_moved") + start).cast("decimal(18,2)")).drop("_moved")
 
-    return scan(rows, ["num"], DATED, step, sizing)
+    return scan(rows, ["run_id"], ARRIVAL, step, sizing)
 
 
 def uatl_txn(orders: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     """Statements of the first provider: direction style, signed style and format 2."""
     o = orders.selectExpr(
         "CAST(o_custkey % 100 AS INT) AS num",
+        "concat('U', lpad(CAST(o_custkey % 100 AS STRING), 4, '0')) AS run_id",
         "o_orderkey AS seq",
         "o_orderstatus",
         "CASE WHEN o_custkey % 10 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS txn_date",
@@ -50,7 +48,7 @@ def uatl_txn(orders: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     arrivals = F.when(F.col("seq") % 50 == 7, F.array(F.col("seq"), F.col("seq") + 1_000_000_000)).otherwise(F.array(F.col("seq")))
     u = b.withColumn("arrival", F.explode(arrivals))
     return u.selectExpr(
-        "concat('U', lpad(CAST(num AS STRING), 4, '0')) AS run_id",
+        "run_id",
         "num",
         "'UATL' AS acc_prvdr_code",
         "CASE WHEN style = 2 THEN 'format_2' ELSE 'format_1' END AS format",
@@ -71,6 +69,7 @@ def umtn_txn(events: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     """Statements of the second provider, with its float balance as `balance`."""
     e = events.selectExpr(
         "CAST(user_id AS INT) AS num",
+        "concat('M', lpad(CAST(user_id AS STRING), 4, '0')) AS run_id",
         "event_id AS seq",
         "date_trunc('hour', ts) AS txn_date",
         "CAST(value AS DECIMAL(18,2)) AS amount",
@@ -86,7 +85,7 @@ def umtn_txn(events: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
            THEN -printed ELSE printed END - fee + CASE WHEN seq % 97 = 0 AND num % 3 = 1 THEN 25 ELSE 0 END AS DECIMAL(18,2)) AS delta""",
     )
     return _balances(10_000, d, sizing).selectExpr(
-        "concat('M', lpad(CAST(num AS STRING), 4, '0')) AS run_id",
+        "run_id",
         "num",
         "'UMTN' AS acc_prvdr_code",
         "'excel' AS format",
