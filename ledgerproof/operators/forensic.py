@@ -161,42 +161,41 @@ def amount_patterns(txn: DataFrame) -> DataFrame:
 # -- page headers ----------------------------------------------------------------------------
 
 
-def is_page_header(line: Column) -> Column:
-    text = F.lower(line)
-    return sum((text.contains(t).cast("int") for t in PAGE_HEADER_TEXTS), F.lit(0)) >= 2
+def is_page_header(lowered: Column) -> Column:
+    return sum((lowered.contains(t).cast("int") for t in PAGE_HEADER_TEXTS), F.lit(0)) >= 2
 
 
-def header_scan(pages: DataFrame) -> DataFrame:
-    """Headers per page and, if the page is suspect, why. Row-local: lines never leave the row."""
-    lines = F.split("text", "\n")
-    positions = F.filter(F.transform(lines, lambda x, i: F.when(is_page_header(x), i)), lambda p: p.isNotNull())
+def _is_content(line: Column) -> Column:
+    """Neither blank nor just a page number (1-999)."""
+    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+    return (bare != "") & ~bare.rlike(r"^\+?0*[1-9][0-9]{0,2}$")
 
-    def content(x: Column) -> Column:
-        bare = F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
-        return (bare != "") & ~F.coalesce(bare.rlike(r"^\+?0*[1-9][0-9]{0,2}$"), F.lit(False))
 
-    firsts = F.filter(F.transform(lines, lambda x, i: F.when(content(x), i)), lambda p: p.isNotNull())
-    out = pages.select("run_id", "page_no", "text", positions.alias("_at"), firsts.alias("_content"))
+def header_scan(pages: DataFrame) -> DataFrame:
+    """Headers per page and, if the page is suspect, why. Row-local: lines never leave the
+    row, and only the lines above a lone header are checked for content."""
     c = F.col
-    n = F.coalesce(F.size("_at"), F.lit(0))
-    blank = F.coalesce(c("text") == "", F.lit(True))
-    expected = F.coalesce(F.try_element_at("_content", F.lit(1)), F.lit(0))
-    first = F.try_element_at("_at", F.lit(1))
+    out = pages.select("run_id", "page_no", (F.coalesce(c("text"), F.lit("")) == "").alias("_blank"), F.split(F.lower("text"), "\n").alias("_lines"))
+    marks = F.transform("_lines", lambda x, i: F.when(is_page_header(x), i))
+    out = out.withColumn("_at", F.when(~c("_blank"), F.filter(marks, lambda p: p.isNotNull())))
+    n, first = F.coalesce(F.size("_at"), F.lit(0)), F.get("_at", F.lit(0))
+    out = out.withColumn("_n", F.when(c("_blank"), 0).otherwise(n))
+    lone = (c("_n") == 1) & (c("page_no") > 1)
+    above = F.transform(F.slice("_lines", F.lit(1), first), _is_content)
+    out = out.withColumn("_content", F.when(lone & (first > 0), F.array_position(above, True)).otherwise(0))
     shown = F.concat(F.lit("["), F.array_join(F.transform("_at", lambda p: p.cast("string")), ", "), F.lit("]"))
     reason = (
-        F.when(blank, F.lit(None).cast("string"))
-        .when(n == 0, "No header row found")
-        .when(n > 1, F.concat(n.cast("string"), F.lit(" headers (positions: "), shown, F.lit(")")))
+        F.when(c("_blank"), F.lit(None).cast("string"))
+        .when(c("_n") == 0, "No header row found")
+        .when(c("_n") > 1, F.concat(c("_n").cast("string"), F.lit(" headers (positions: "), shown, F.lit(")")))
         .when(
-            (c("page_no") > 1) & (first > expected),
+            c("_content") > 0,
             F.concat(
-                F.lit("Header at line "), first.cast("string"), F.lit(" (expected at line "), expected.cast("string"), F.lit(")")
+                F.lit("Header at line "), first.cast("string"), F.lit(" (expected at line "), (c("_content") - 1).cast("string"), F.lit(")")
             ),
         )
     )
-    return out.select(
-        "run_id", "page_no", F.when(blank, 0).otherwise(n).cast("long").alias("header_rows"), reason.alias("reason")
-    )
+    return out.select("run_id", "page_no", c("_n").cast("long").alias("header_rows"), reason.alias("reason"))
 
 
 def header_rollup(scanned: DataFrame) -> DataFrame:

@@ -173,6 +173,8 @@ def loans_of(flagged: DataFrame, loans: DataFrame, users: DataFrame, persons: Da
     p = persons.select(c("id").alias("person_id"), full_name().alias("loan_applier_name"))
     out = kept.join(u, "loan_applied_by", "left").join(p, "person_id", "left").join(rms, "cust_id", "left")
     end = F.coalesce("paid_date", F.lit(as_of).cast("date"))
+    # CONCAT_WS over an unmatched person is an empty text, not NULL.
+    out = out.withColumn("loan_applier_name", F.coalesce("loan_applier_name", F.lit("")))
     return out.withColumn("overdue_days_calc", F.datediff(end, "due_date"))
 
 

@@ -285,11 +285,16 @@ def strategy_scores(runs: DataFrame) -> DataFrame:
     return _fee_figures(runs, "strategy").withColumn("score", score)
 
 
-def compare_strategies(runs: DataFrame) -> DataFrame:
-    """Runs with fewer, more or as many drift changes than under voting."""
-    base = runs.filter("strategy = 'voting'").select("run_id", F.col("balance_diff_changes").alias("_base"))
-    step = F.col("balance_diff_changes") - F.col("_base")
-    return runs.filter("strategy <> 'voting'").join(base, "run_id").groupBy("strategy").agg(
+def compare_strategies(runs: DataFrame, base: str = "voting", others: tuple[str, ...] = ("always_enable", "always_disable")) -> DataFrame:
+    """Runs with fewer, more or as many drift changes than under voting, in one pass."""
+
+    def changes(name: str) -> Column:
+        return F.max(F.when(F.col("strategy") == name, F.col("balance_diff_changes")))
+
+    per_run = runs.groupBy("run_id").agg(changes(base).alias("_base"), *[changes(o).alias(o) for o in others])
+    long = per_run.unpivot(["run_id", "_base"], list(others), "strategy", "_changes")
+    step = F.col("_changes") - F.col("_base")
+    return long.groupBy("strategy").agg(
         n_if(step < 0).alias("improvements"), n_if(step > 0).alias("degradations"), n_if(step == 0).alias("unchanged")
     )
 

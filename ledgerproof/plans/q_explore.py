@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerproof.operators import explore, lineage, reports
+from ledgerproof.operators import explore, ledger, lineage, reports
 from ledgerproof.operators.sequence import ARRIVAL, scan
 from ledgerproof.plans.oracles import BLOCKS
 from ledgerproof.plans.q_reports import mapper
@@ -192,9 +192,8 @@ def _(t):
 
 @query("p4_union_processed", "SELECT run_id, seq, acc_prvdr_code, txn_type, balance::DOUBLE AS balance, (CASE WHEN acc_prvdr_code = 'UMTN' THEN fee END)::DOUBLE AS tax FROM processed")
 def _(t):
-    rows = t.processed
-    one = rows.filter("acc_prvdr_code = 'UATL'")
-    two = rows.filter("acc_prvdr_code = 'UMTN'").withColumn("tax", F.col("fee"))
+    one = ledger.verify(t.uatl, t.sizing, keep=("txn_type",))
+    two = ledger.verify(t.umtn, t.sizing, keep=("txn_type",)).withColumn("tax", F.col("fee"))
     return one.unionByName(two, allowMissingColumns=True).select("run_id", "seq", "acc_prvdr_code", "txn_type", "balance", "tax")
 
 
@@ -205,7 +204,7 @@ def _(t):
 )
 def _(t):
     cols = ["run_id", "seq", "txn_id"]
-    done = t.processed.filter("acc_prvdr_code = 'UATL'").select(*cols, F.lit("processed").alias("source"))
+    done = ledger.verify(t.uatl, t.sizing, keep=("txn_id",)).select(*cols, F.lit("processed").alias("source"))
     both = done.unionByName(t.uatl.select(*cols, F.lit("raw").alias("source")))
     return explore.first_per_group(both, ["run_id"], [F.asc("txn_id"), F.asc("source"), F.asc("seq")], 100)
 

@@ -218,12 +218,8 @@ FROM (SELECT * FROM s_sums WHERE strategy = 'voting') n LEFT JOIN s_old o USING
 }
 
 
-def _strategies(t):
-    return ledger.run_strategies(t.uatl, t.sizing)
-
-
 def _compared(t):
-    runs = _strategies(t)
+    runs = t.strategies
     old = runs.filter("strategy = 'always_enable' and run_id not like '%9'")
     return lineage.compare_runs(old, runs.filter("strategy = 'voting'"))
 
@@ -240,7 +236,7 @@ def _(t):
     STRATEGY,
 )
 def _(t):
-    return reports.compare_strategies(_strategies(t))
+    return reports.compare_strategies(t.strategies)
 
 
 @query(
@@ -249,7 +245,7 @@ def _(t):
     STRATEGY,
 )
 def _(t):
-    return reports.strategy_scores(_strategies(t))
+    return reports.strategy_scores(t.strategies)
 
 
 @query(

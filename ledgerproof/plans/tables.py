@@ -49,12 +49,18 @@ class Tables:
 
     @cached_property
     def summary(self) -> DataFrame:
-        """One row per statement. Kept, as every report starts from it."""
+        """One row per statement. Kept, as every report starts from it; so are `meta` and
+        `strategies`. Row-level tables are not."""
         return ledger.summarise(self.replay).persist()
 
     @cached_property
     def meta(self) -> DataFrame:
-        return X.statement_meta(self.txn, F.broadcast(self.read("nation")))
+        return X.statement_meta(self.txn, self.read("nation")).persist()
+
+    @cached_property
+    def strategies(self) -> DataFrame:
+        """Summaries of the first provider's statements under the three fee strategies."""
+        return ledger.run_strategies(self.uatl, self.sizing).persist()
 
     @cached_property
     def customers(self) -> DataFrame:
