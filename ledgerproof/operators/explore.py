@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.amounts import TOLERANCE
-from ledgerproof.operators.sequence import Ordered, Sizing, Sort, scan
+from ledgerproof.operators.sequence import Ordered, Sizing, Sort, plain, scan, split_hot
 
 BY_BALANCE = (Sort("txn_date"), Sort("balance", nulls_first=True), Sort("seq"))
 
@@ -25,12 +25,17 @@ def first_mismatch(processed: DataFrame) -> DataFrame:
     return first.select("run_id", "_m.*")
 
 
-def mismatch_context(processed: DataFrame, rows: int = 3) -> DataFrame:
-    """The rows up to and including the first mismatch. Joined on (run, position), so a long
-    statement contributes three lookups, not a scan of one group."""
-    wanted = first_mismatch(processed).select("run_id", F.col("pos").alias("_at"))
-    wanted = wanted.select("run_id", F.explode(F.sequence(F.col("_at") - (rows - 1), F.col("_at"))).alias("pos"), "_at")
-    out = processed.join(wanted, ["run_id", "pos"])
+def mismatch_context(processed: DataFrame, rows: int = 3, sizing: Sizing = Sizing()) -> DataFrame:
+    """The rows up to and including the first mismatch. The place of the mismatch reaches the
+    rows of its run in the partitions the replay left them in; only hot runs need a join,
+    against one row per hot run."""
+    at = F.min(F.when(F.abs(F.col("balance_diff")) > F.lit(TOLERANCE), F.col("pos")))
+    cold, hot, n = split_hot(processed, ["run_id"], sizing.hot_rows, sizing.at_most)
+    out = plain(cold, ["run_id"], (Sort("pos"),)).per_key(_at=at).df
+    if hot is not None:
+        hot_runs = Ordered(hot, ("run_id",), (Sort("pos"),), n // sizing.hot_rows + 1)
+        out = out.unionByName(hot_runs.per_key(_at=at).df)
+    out = out.filter(F.col("pos").between(F.col("_at") - (rows - 1), F.col("_at")))
     return out.withColumn("before_mismatch", (F.col("_at") - F.col("pos")).cast("long")).drop("_at")
 
 

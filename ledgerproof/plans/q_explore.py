@@ -46,7 +46,7 @@ def _(t):
     MISMATCH,
 )
 def _(t):
-    return explore.mismatch_context(t.replay).select("run_id", "pos", "before_mismatch", "seq", "balance_diff")
+    return explore.mismatch_context(t.replay, sizing=t.sizing).select("run_id", "pos", "before_mismatch", "seq", "balance_diff")
 
 
 PATTERN = {

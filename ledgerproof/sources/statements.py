@@ -60,11 +60,29 @@ def _is_header(line: Column) -> Column:
     return line.contains(HEADER_MARKS[0]) & line.contains(HEADER_MARKS[1])
 
 
+WALLET_COLUMNS = {
+    "Transaction ID": "id",
+    "Transaction Date": "date",
+    "Description": "text",
+    "Status": "status",
+    "Transaction Amount": "amount",
+    "Credit/Debit": "direction",
+    "Fee": "fee",
+    "Balance": "balance",
+}
+
+
 def headers(lines: DataFrame) -> DataFrame:
-    """One row per file: its header line and where it stands."""
-    return lines.filter(_is_header(F.col("line"))).groupBy("path").agg(
-        F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("header")
+    """One row per file: where its header stands, and the place of each column (NULL if absent)."""
+    found = lines.filter(_is_header(F.col("line"))).groupBy("path").agg(
+        F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("_header")
     )
+    names = F.transform(F.split("_header", ","), lambda n: F.trim(F.btrim(n, F.lit('"\r '))))
+    found = found.withColumn("_names", names)
+    place = [
+        F.nullif(F.array_position("_names", F.lit(title)).cast("int"), F.lit(0)).alias(name) for title, name in WALLET_COLUMNS.items()
+    ]
+    return found.select("path", "header_no", F.struct(*place).alias("_at"))
 
 
 def with_headers(lines: DataFrame) -> DataFrame:
@@ -72,7 +90,12 @@ def with_headers(lines: DataFrame) -> DataFrame:
 
 
 def _cell(name: str) -> Column:
-    return F.get("_cells", F.array_position("_names", F.lit(name)).cast("int") - 1)
+    place = F.col(f"_at.{name}")
+    return F.elt(F.when(place <= MAX_CELLS, place), *[F.col(f"c{i}") for i in range(MAX_CELLS)])
+
+
+def _number(name: str) -> Column:
+    return P.amount(F.replace(_cell(name), F.lit(","), F.lit("")))
 
 
 def wallet_rows(lines: DataFrame) -> DataFrame:
@@ -80,26 +103,23 @@ def wallet_rows(lines: DataFrame) -> DataFrame:
     fits no format keep a NULL date, and rows without a readable amount are left out (both
     are counted by `wallet_rejects`)."""
     body = with_headers(lines).filter((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
-    # Header names per line are one short split; data cells are quoted CSV.
-    names = F.transform(F.split("header", ","), lambda n: F.trim(F.btrim(n, F.lit('"\r '))))
     parsed = F.from_csv(F.rtrim(F.regexp_replace("line", "\r$", "")), F.lit(CELLS), {"escape": '"'})
-    rows = body.withColumns({"_names": names, "_c": parsed})
-    rows = rows.withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(MAX_CELLS)]))
-    one = F.array_contains("_names", "Credit/Debit")
-    signed = P.amount(F.replace(_cell("Transaction Amount"), F.lit(","), F.lit("")))
-    debit = F.upper(F.trim(_cell("Credit/Debit"))) == "DEBIT"
-    number = F.when(one, F.when(debit, -F.abs(signed)).otherwise(F.abs(signed))).otherwise(signed)
+    # A generator, so that a line is parsed once and not once per field taken from it.
+    rows = body.select("*", F.inline(F.array(parsed)))
+    one = F.col("_at.direction").isNotNull()
+    signed = _number("amount")
+    debit = F.upper(F.trim(_cell("direction"))) == "DEBIT"
     out = rows.select(
         "path",
         "line_no",
         F.when(one, "format_1").otherwise("format_2").alias("format"),
-        _cell("Transaction ID").alias("txn_id"),
-        P.parse_ts(_cell("Transaction Date"), P.CSV_FORMATS).alias("txn_date"),
-        F.trim(_cell("Description")).alias("description"),
-        F.trim(_cell("Status")).alias("status"),
-        number.alias("amount"),
-        F.coalesce(P.amount(F.replace(_cell("Fee"), F.lit(","), F.lit(""))), F.lit(0)).cast(P.AMOUNT).alias("fee"),
-        P.amount(F.replace(_cell("Balance"), F.lit(","), F.lit(""))).alias("balance"),
+        _cell("id").alias("txn_id"),
+        P.parse_ts(_cell("date"), P.CSV_FORMATS).alias("txn_date"),
+        F.trim(_cell("text")).alias("description"),
+        F.trim(_cell("status")).alias("status"),
+        F.when(one, F.when(debit, -F.abs(signed)).otherwise(F.abs(signed))).otherwise(signed).alias("amount"),
+        F.coalesce(_number("fee"), F.lit(0)).cast(P.AMOUNT).alias("fee"),
+        _number("balance").alias("balance"),
     )
     return out.withColumn("txn_direction", F.when(F.col("amount") < 0, "DR").otherwise("CR"))
 
