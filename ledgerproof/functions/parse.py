@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,7 +191,3 @@ def document_date(text: Column) -> Column:
     """'D:yyyyMMddHHmmss…' or an ISO text; 'N/A' is NULL."""
     stamp = F.try_to_timestamp(F.substring(text, 3, 14), F.lit("yyyyMMddHHmmss"))
     return F.when(text.startswith("D:"), stamp).otherwise(F.try_to_timestamp(F.nullif(text, F.lit("N/A"))))
-
-
-def any_null(columns: list[Column]) -> Column:
-    return reduce(Column.__or__, [c.isNull() for c in columns])

@@ -33,7 +33,6 @@ _MIN = _PAD.format("o_orderkey % 60")
 _H24 = _PAD.format("o_orderkey % 24")
 _H12 = _PAD.format("CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE o_orderkey % 12 END")
 _AMPM = "CASE WHEN o_orderkey % 24 < 12 THEN 'AM' ELSE 'PM' END"
-_NAMES = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
 _MMM = "CASE month(o_orderdate) " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())) + " END"
 _MMMM = (
     "CASE month(o_orderdate) "
