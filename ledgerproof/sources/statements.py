@@ -102,7 +102,9 @@ def wallet_rows(lines: DataFrame) -> DataFrame:
     """Transaction rows below the header; format 1 has a direction column. Rows whose date
     fits no format keep a NULL date, and rows without a readable amount are left out (both
     are counted by `wallet_rejects`)."""
-    body = with_headers(lines).filter((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
+    # Kept an outer join on purpose: as an inner one it might broadcast the lines, not the headers.
+    below = F.coalesce(F.col("line_no") > F.col("header_no"), F.lit(False))
+    body = with_headers(lines).filter(below & (F.trim("line") != ""))
     parsed = F.from_csv(F.rtrim(F.regexp_replace("line", "\r$", "")), F.lit(CELLS), {"escape": '"'})
     # A generator, so that a line is parsed once and not once per field taken from it.
     rows = body.select("*", F.inline(F.array(parsed)))
