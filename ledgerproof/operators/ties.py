@@ -14,12 +14,14 @@ before it. So each group is a small table "entry row -> exit row":
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,9 @@ from ledgerproof.functions import amounts as A
 from ledgerproof.operators.sequence import BLOCK, Ordered, Sort
 from ledgerproof.session import broadcast_if_small
 
+# The functions below travel to the executors by value: nothing needs to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_TIED = 6
 SCALE = 100_000  # DECIMAL(22,5) as whole numbers
 _EXACT = 1_000  # 0.01 in those units
