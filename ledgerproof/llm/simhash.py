@@ -12,9 +12,10 @@ Copies share a fingerprint and are one row before anything is emitted. Within a
 verified links is kept; components over all links come from `components`.
 
 Edge cases: a null or wordless text has fingerprint zero, linked like any other; a text with fewer words than
-a shingle is one shingle; a null doc_id can't be a component's id unless nothing else is in it; rows that
-repeat a doc_id have one result each; other columns are not read by near_groups() and are kept by
-drop_near(); an empty table gives an empty result.
+a shingle is one shingle; a null doc_id can't be a component's id unless nothing else is in it, and drop_near()
+keeps its row, as no doc_id says which one to drop; rows that repeat a doc_id have one result each and stay or
+go together; other columns are not read by near_groups() and are kept by drop_near(); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
