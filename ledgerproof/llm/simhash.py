@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerproof.llm.components import components
 from ledgerproof.llm.parts import text_slices
 from ledgerproof.llm.ship import ship
-from ledgerproof.session import materialise
+from ledgerproof.session import broadcast_if_small, materialise
 
 SHINGLE = 4
 SEED = 42
@@ -187,8 +187,10 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of every component, that of its least doc_id, with all columns.
 
-    What is joined is only the doc_ids that go, so that the rows that stay keep their place.
+    The doc_ids that go are broadcast while they are few enough, so texts are not shuffled; beyond that a join
+    meets them.
     """
     rows = near_groups(docs, radius)
     gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__near_id"), "left_anti")
+    gone = materialise(gone, "near_copies")
+    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__near_id"), "left_anti")
