@@ -41,10 +41,10 @@ def repeated_ids(txn: DataFrame) -> DataFrame:
 
 
 def longest_digits(txn_id: Column) -> Column:
-    """Longest run of digits, the first of equals, as a whole number."""
+    """Longest run of digits, the first of equals, as a whole number; NULL beyond 38 digits."""
     runs = F.regexp_extract_all(txn_id, F.lit(r"(\d+)"), F.lit(1))
     ranked = F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r")))
-    return F.array_max(ranked)["r"].cast("decimal(38,0)")
+    return F.array_max(ranked)["r"].try_cast("decimal(38,0)")
 
 
 def id_integrity(txn: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def json_records(df: DataFrame) -> DataFrame:
     return df.select("run_id", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
-    """New rows replace old ones of the same key."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "run_id", order: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key. With `order`, of several new rows of a key the one with the highest stays."""
+    if order:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("row")).select("row.*")
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

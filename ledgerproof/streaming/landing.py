@@ -21,18 +21,22 @@ def offered_lines(spark: SparkSession, folder: str) -> DataFrame:
 def landed(spark: SparkSession, table: str) -> DataFrame | None:
     try:
         return spark.read.parquet(table)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
 def _append_new(table: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         known = landed(batch.sparkSession, table)
-        fresh = batch
+        # Of several files of one run in a batch the first path lands.
+        chosen = batch.groupBy("run_id").agg(F.min("path").alias("path"))
+        fresh = batch.join(chosen, ["run_id", "path"], "left_semi")
         if known is not None:
             # A replayed batch must not see its own earlier attempt as already landed.
             before = known.filter(F.col("batch_id") < batch_id).select("run_id").distinct()
-            fresh = batch.join(before, "run_id", "left_anti")
+            fresh = fresh.join(before, "run_id", "left_anti")
         # One folder per batch, overwritten on replay: the write is idempotent.
         fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 

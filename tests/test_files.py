@@ -4,12 +4,14 @@ import gzip
 import hashlib
 
 from ledgerproof.operators import explore, lineage
+from pyspark.sql import functions as F
+
 from ledgerproof.sources import sinks
 from ledgerproof.sources import statements as S
 from ledgerproof.streaming import landing
 
 FILE = (
-    "Airtel Money Statement\r\nBasic Info\r\nCustomer Name,Mary A\r\nMobile Number,742398025\r\nEmail Address,m@example.org\r\n"
+    "Airtel Money Statement\r\nBasic Info\r\nCustomer Name,Mary A\r\nMobile Number,700100200\r\nEmail Address,m@example.org\r\n"
     'Statement Period,01-Apr-25 to 30-Jun-25\r\nRequest Date,"30 Jul, 2025"\r\nOpening Balance,"Ugx 3,887.80"\r\nClosing Balance,Ugx 15.80\r\n'
     "Transaction Details\r\nTransaction ID,Transaction Date,Description,Status,Transaction Amount,Credit/Debit,Fee,Balance\r\n"
     '1001,01-05-25 08:17 AM,"Sent, to ""Bob""",Transaction Successful,"1,500.00",Debit,10,"2,377.80"\r\n'
@@ -29,7 +31,7 @@ def test_wallet_csv_plain_and_gzip(spark, tmp_path):
     assert (one["1001"].txn_direction, one["1002"].txn_direction, float(one["1002"].fee)) == ("DR", "CR", 0.0)
     assert one["1003"].txn_date is None and one["1003"].balance is None and one["1003"].format == "format_1"
     for row in meta.collect():
-        assert (row.customer_name, row.mobile_number, float(row.opening_balance), str(row.request_date)) == ("Mary A", "742398025", 3887.8, "2025-07-30")
+        assert (row.customer_name, row.mobile_number, float(row.opening_balance), str(row.request_date)) == ("Mary A", "700100200", 3887.8, "2025-07-30")
     rejects = S.wallet_rejects(S.read_lines(spark, str(tmp_path)))
     assert {(r.bad_amounts, r.bad_dates) for r in rejects.collect()} == {(0, 1)}
 
@@ -95,3 +97,25 @@ def test_retract(spark):
     assert {k: v.count() for k, v in explore.retract(tables, gone).items()} == {"raw": 3, "processed": 1, "summary": 1}
     assert {k: v.count() for k, v in explore.retract(tables, gone, everything=True).items()} == {"raw": 1, "processed": 1, "summary": 1}
     assert {r.table_name: r.removed for r in explore.retract_counts(tables, gone).collect()} == {"raw": 2, "processed": 2, "summary": 1}
+
+
+def test_upsert_keeps_the_last_new_row(spark):
+    old = spark.createDataFrame([("a", 1, 0)], "run_id string, n long, at long")
+    new = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("b", 4, 1)], "run_id string, n long, at long")
+    assert sorted(map(tuple, sinks.upsert(old, new, order="at").collect())) == [("a", 3, 2), ("b", 4, 1)]
+
+
+def test_two_files_of_a_run_in_one_batch_land_once(spark, tmp_path):
+    for name in ("x", "y"):
+        folder = tmp_path / "in" / name / "run_id=r1"
+        folder.mkdir(parents=True)
+        (folder / f"{name}.csv").write_text("one\ntwo\n")
+    landing.land(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_ids_over_38_digits_do_not_abort(spark):
+    from ledgerproof.operators import forensic
+
+    row = spark.createDataFrame([("9" * 39,), ("a12",)], "t string").select(forensic.longest_digits(F.col("t")).alias("n")).collect()
+    assert [r.n and int(r.n) for r in row] == [None, 12]
