@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.llm.parts import WordEncoder, text_slices
 from ledgerproof.llm.ship import ship
+from ledgerproof.session import broadcast_if_small
 
 # Ids of a shard are at most so many, unless one document alone has more.
 SHARD_IDS = 4_000_000
@@ -209,7 +210,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cut = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.record_batch([doc_ids, pa.array(row["shard_start"] + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "token_ids"])
 
-    shards = spark.read.parquet(path).join(shard_starts(spark, path), ["partition", "shard"])
+    shards = spark.read.parquet(path)
+    # Three numbers per shard; without the hint the ids would be shuffled to meet them.
+    starts = broadcast_if_small(shard_starts(spark, path), shards.count())
+    shards = shards.join(starts, ["partition", "shard"])
     return shards.mapInArrow(run, DOCUMENTS)
 
 
