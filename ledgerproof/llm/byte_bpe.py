@@ -29,6 +29,8 @@ from ledgerproof.llm.ship import ship
 LONG_PIECE = 256
 # Widths of the padded matrices.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, LONG_PIECE)
+# Parts, and pieces, whose ids a worker keeps (about 200 bytes each).
+KEPT = 200_000
 # Rows of one matrix.
 MATRIX_ROWS = 5_000
 NONE = np.int32(2**31 - 1)
@@ -92,7 +94,7 @@ class ByteBpe:
             self.lengths[r] = len(t)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
-        self.parts = PartEncoder(self.encode_matches, self.encode_strings)
+        self.parts = PartEncoder(self.encode_matches, self.encode_strings, KEPT)
 
     # -- encoding
 

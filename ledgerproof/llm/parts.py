@@ -16,7 +16,7 @@ import pyarrow as pa
 # Entries of a cache of words before it is thinned out (about 200 bytes each).
 CACHE_ENTRIES = 500_000
 # Characters of text handled at once; a longer text is handled alone.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 3_000_000
 
 # The characters of Unicode's White_Space property, as in a pattern's \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
