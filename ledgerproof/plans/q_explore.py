@@ -93,10 +93,11 @@ def _(t):
 
 @query(
     "w7_stratified_sample",
-    "SELECT run_id, balance_match, rank FROM (SELECT *, row_number() OVER (PARTITION BY balance_match ORDER BY md5(concat(run_id, '|', 'seed-1')), run_id) AS rank FROM summary) WHERE rank <= 50",
+    "SELECT run_id, balance_match, rank FROM (SELECT *, row_number() OVER (PARTITION BY balance_match ORDER BY md5(concat(run_id, '|', 'seed-1')), run_id) AS rank FROM summary WHERE acc_prvdr_code = 'UATL' AND uses_implicit_cashback IS NOT NULL) WHERE rank <= 500",
 )
 def _(t):
-    return explore.stratified_sample(t.summary, "balance_match", 50, "seed-1").select("run_id", "balance_match", "rank")
+    known = t.summary.filter("acc_prvdr_code = 'UATL' and uses_implicit_cashback is not null")
+    return explore.stratified_sample(known, "balance_match", 500, "seed-1").select("run_id", "balance_match", "rank")
 
 
 @query("w8_statement_page", "SELECT run_id, acc_number, submitted_date, unified_status FROM unified WHERE acc_prvdr_code = 'UATL' ORDER BY submitted_date DESC, run_id LIMIT 25 OFFSET 25")

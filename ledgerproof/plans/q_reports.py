@@ -153,9 +153,9 @@ def _(t):
     return t.customers.join(_flagged(t).filter("cust_id is not null").select("cust_id"), "cust_id", "left_semi").select("run_id", "cust_id")
 
 
-@query("j12_unprocessed_runs", "SELECT run_id FROM statement_meta WHERE acc_prvdr_code = 'UATL' AND run_id NOT IN (SELECT run_id FROM summary WHERE num_rows > 150)")
+@query("j12_unprocessed_runs", "SELECT run_id FROM statement_meta WHERE acc_prvdr_code = 'UATL' AND run_id NOT IN (SELECT run_id FROM summary WHERE num_rows > 50)")
 def _(t):
-    return lineage.unprocessed(t.meta, t.summary.filter("num_rows > 150"), "UATL")
+    return lineage.unprocessed(t.meta, t.summary.filter("num_rows > 50"), "UATL")
 
 
 @query("j13_not_imported", "SELECT run_id FROM statement_meta WHERE run_id NOT IN (SELECT run_id FROM uatl_txn WHERE num % 2 = 0 UNION SELECT run_id FROM mapper)")
@@ -493,20 +493,18 @@ def _(t):
 @query(
     "a24_rm_performance",
     """SELECT rm_name, count(*) FILTER (WHERE custom_verification = 'FATAL') AS fatal_count, count(*) FILTER (WHERE custom_verification = 'NO_ISSUES') AS verified_count, count(*) AS total_statements,
-       round(count(*) FILTER (WHERE custom_verification = 'FATAL') * 100.0::DOUBLE / count(*), 2) AS fatal_rate FROM unified WHERE acc_prvdr_code = 'UATL' AND rm_name IS NOT NULL GROUP BY rm_name HAVING count(*) >= 4""",
+       round(count(*) FILTER (WHERE custom_verification = 'FATAL') * 100.0::DOUBLE / count(*), 2) AS fatal_rate FROM unified WHERE acc_prvdr_code = 'UATL' AND rm_name IS NOT NULL GROUP BY rm_name HAVING count(*) >= 10""",
 )
 def _(t):
-    # Four instead of ten: the derived managers have four statements each.
-    return reports.rm_performance(t.unified, at_least=4)
+    return reports.rm_performance(t.unified)
 
 
 @query(
     "a25_flagged_borrowers",
-    """SELECT borrower_biz_name, cust_id, risk_category, crnt_fa_limit::DOUBLE AS crnt_fa_limit, count(*) AS fatal_count FROM customer_details JOIN unified USING (run_id) WHERE custom_verification = 'FATAL' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 1""",
+    """SELECT borrower_biz_name, cust_id, risk_category, crnt_fa_limit::DOUBLE AS crnt_fa_limit, count(*) AS fatal_count FROM customer_details JOIN unified USING (run_id) WHERE custom_verification = 'FATAL' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
 )
 def _(t):
-    # One instead of two: the derived borrowers have at most one FATAL statement each.
-    return reports.flagged_borrowers(t.unified, t.customers, at_least=1)
+    return reports.flagged_borrowers(t.unified, t.customers)
 
 
 @query("a26_gap_distribution", "SELECT gap_related_balance_changes, count(*) AS statement_count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS percentage FROM summary WHERE gap_related_balance_changes > 0 GROUP BY 1")

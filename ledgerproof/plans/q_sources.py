@@ -42,7 +42,7 @@ _MMMM = (
 
 RAW = [
     "o_orderkey AS seq",
-    "concat('U', lpad(CAST(o_custkey % 100 AS STRING), 4, '0')) AS run_id",
+    "concat('U', CAST(o_custkey AS STRING)) AS run_id",
     "CAST(700000000 + o_custkey % 40 AS STRING) AS acc_number",
     "CASE WHEN o_custkey % 3 = 2 THEN 'format_2' ELSE 'format_1' END AS format",
     "concat(' T', CAST(o_orderkey AS STRING), ' ') AS txn_id",

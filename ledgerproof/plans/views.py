@@ -3,8 +3,9 @@
 VIEWS: dict[str, str] = {
     "uatl_txn": """
 WITH o AS (
-  SELECT CAST(o_custkey % 100 AS INT) AS num, o_orderkey AS seq, o_orderstatus, o_orderpriority,
-         CASE WHEN o_custkey % 10 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS txn_date,
+  SELECT CAST(o_custkey // 5 AS INT) AS num, o_orderkey AS seq, o_orderstatus, o_orderpriority,
+         CASE WHEN o_custkey // 5 % 20 = 0 THEN date_trunc('year', o_orderdate) WHEN o_custkey // 5 % 20 = 10 THEN date_trunc('quarter', o_orderdate)
+              WHEN o_custkey // 5 % 2 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS txn_date,
          CAST(o_totalprice AS DECIMAL(18,2)) AS amt, CAST((o_orderkey % 4) * 100 AS DECIMAL(18,2)) AS fee,
          CASE o_orderkey % 40 WHEN 0 THEN 'Commission Disbursement - wallet' WHEN 1 THEN 'Deallocation Transfer' WHEN 2 THEN 'Transaction Reversal'
               WHEN 3 THEN 'RollBack of transfer' WHEN 4 THEN 'Merchant Payment Other Single Step' WHEN 5 THEN 'Received From IND02 agent'
@@ -21,7 +22,7 @@ b AS (
   SELECT d.*, CAST(1000000 + sum(delta) OVER (PARTITION BY num ORDER BY txn_date, seq ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance FROM d),
 u AS (
   SELECT b.*, seq AS arrival FROM b UNION ALL SELECT b.*, seq + 1000000000 AS arrival FROM b WHERE seq % 50 = 7)
-SELECT concat('U', lpad(CAST(num AS VARCHAR(10)), 4, '0')) AS run_id, num, 'UATL' AS acc_prvdr_code,
+SELECT printf('U%04d', num) AS run_id, num, 'UATL' AS acc_prvdr_code,
        CASE WHEN style = 2 THEN 'format_2' ELSE 'format_1' END AS format, arrival AS seq, concat('T', CAST(seq AS VARCHAR(20))) AS txn_id,
        CAST(txn_date AS TIMESTAMP) AS txn_date, CAST(NULL AS VARCHAR(10)) AS txn_type, description,
        CASE WHEN seq % 211 = 0 THEN 'FAILED' ELSE 'Transaction Successful' END AS status,
@@ -41,7 +42,7 @@ a AS (SELECT e.*, CASE WHEN txn_type = 'TRANSFER' AND seq % 3 = 0 THEN -amount E
 d AS (
   SELECT a.*, CAST(CASE WHEN txn_type IN ('CASH_IN', 'BILL PAYMENT', 'LOAN_REPAYMENT') OR (txn_type = 'ADJUSTMENT' AND seq % 8 = 1) THEN -printed ELSE printed END
          - fee + CASE WHEN seq % 97 = 0 AND num % 3 = 1 THEN 25 ELSE 0 END AS DECIMAL(18,2)) AS delta FROM a)
-SELECT concat('M', lpad(CAST(num AS VARCHAR(10)), 4, '0')) AS run_id, num, 'UMTN' AS acc_prvdr_code, 'excel' AS format, seq,
+SELECT printf('M%04d', num) AS run_id, num, 'UMTN' AS acc_prvdr_code, 'excel' AS format, seq,
        concat('MP', CAST(5000000 + seq * 2 AS VARCHAR(20))) AS txn_id, CAST(txn_date AS TIMESTAMP) AS txn_date, txn_type,
        concat(txn_type, ' - 256', CAST(700000000 + num AS VARCHAR(12)), ' to agent@mm') AS description, 'success' AS status,
        CASE WHEN printed > 0 THEN 'Credit' ELSE 'Debit' END AS txn_direction, printed AS amount, fee,
@@ -61,15 +62,15 @@ SELECT run_id, num, acc_prvdr_code, CAST(700000000 + num % 40 AS VARCHAR(12)) AS
        CASE WHEN num % 7 IN (0, 1, 3) THEN TIMESTAMP '2025-06-01 10:00:00' END AS meta_created_at,
        CASE WHEN num % 7 IN (1, 3) THEN TIMESTAMP '2025-06-02 11:30:00' END AS meta_modified_at,
        concat('/data/', run_id, CASE num % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.csv' WHEN 2 THEN '.xlsx' ELSE '.csv.gz' END) AS pdf_path,
-       DATE '2025-03-01' + CAST(num AS INT) AS submitted_date
+       DATE '2025-03-01' + CAST(num % 3650 AS INT) AS submitted_date
 FROM r JOIN nation ON n_nationkey = num % 25
 """,
     "customer_details": """
-SELECT m.run_id, m.rm_name, CASE WHEN m.num % 31 = 0 THEN NULL ELSE CAST(m.num % 60 AS VARCHAR(10)) END AS cust_id, c.c_name AS borrower_biz_name,
+SELECT m.run_id, m.rm_name, CASE WHEN m.num % 31 = 0 THEN NULL ELSE CAST((m.num - m.num % 3) * 5 AS VARCHAR(10)) END AS cust_id, c.c_name AS borrower_biz_name,
        CASE WHEN m.num % 2 = 0 THEN 'lead' ELSE 'reassessment_result' END AS final_entity_type,
        r1.s_name AS reg_rm_name, r2.s_name AS current_rm_name, CAST(c.c_acctbal AS DECIMAL(18,2)) AS crnt_fa_limit,
        CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'high' ELSE 'low' END AS risk_category
-FROM statement_meta m JOIN customer c ON c.c_custkey = m.num % 60
+FROM statement_meta m JOIN customer c ON c.c_custkey = (m.num - m.num % 3) * 5
 LEFT JOIN supplier r1 ON r1.s_suppkey = m.num % 9 LEFT JOIN supplier r2 ON r2.s_suppkey = m.num % 14
 """,
     "loans": """
@@ -82,10 +83,10 @@ SELECT CAST(o_custkey AS VARCHAR(10)) AS cust_id, concat('L', CAST(o_orderkey AS
        CASE WHEN o_orderkey % 77 = 0 THEN 'voided' WHEN o_orderstatus = 'F' THEN 'settled' WHEN o_orderstatus = 'P' THEN 'overdue' WHEN o_orderkey % 2 = 0 THEN 'due' ELSE 'ongoing' END AS status,
        CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS os_amount,
        CAST(o_orderkey % 97 AS INT) AS loan_applied_by
-FROM orders WHERE o_custkey < 60
+FROM orders
 """,
     "page_text": """
-SELECT concat('U', lpad(CAST(doc_id % 100 AS VARCHAR(10)), 4, '0')) AS run_id, CAST((doc_id - doc_id % 100) / 100 AS INT) + 1 AS page_no,
+SELECT printf('U%04d', doc_id // 10) AS run_id, CAST(doc_id % 10 AS INT) + 1 AS page_no,
        CASE WHEN doc_id % 17 = 0 THEN text
             WHEN doc_id % 19 = 0 THEN concat(text, chr(10), 'Transaction ID Transaction Type Description')
             WHEN doc_id % 23 = 0 THEN concat('Transation ID Description', chr(10), text, chr(10), 'Transaction ID From Account')
@@ -103,14 +104,14 @@ SELECT DISTINCT CAST(num AS BIGINT) AS id, CASE WHEN num % 2 = 0 THEN 'lead' ELS
 FROM statement_meta WHERE num % 3 = 0
 """,
     "leads": """
-SELECT DISTINCT CAST(num AS BIGINT) AS id, CASE WHEN num % 31 = 0 THEN NULL ELSE CAST(num % 60 AS VARCHAR(10)) END AS cust_id, concat('Lead ', CAST(num AS VARCHAR(10))) AS biz_name FROM statement_meta
+SELECT DISTINCT CAST(num AS BIGINT) AS id, CASE WHEN num % 31 = 0 THEN NULL ELSE CAST((num - num % 3) * 5 AS VARCHAR(10)) END AS cust_id, concat('Lead ', CAST(num AS VARCHAR(10))) AS biz_name FROM statement_meta
 """,
     "reassessments": """
-SELECT DISTINCT CAST(num AS BIGINT) AS id, CAST(num % 60 AS VARCHAR(10)) AS cust_id, CAST(num * 1000 AS DECIMAL(18,2)) AS prev_limit FROM statement_meta
+SELECT DISTINCT CAST(num AS BIGINT) AS id, CAST((num - num % 3) * 5 AS VARCHAR(10)) AS cust_id, CAST(num * 1000 AS DECIMAL(18,2)) AS prev_limit FROM statement_meta
 """,
     "borrowers": """
 SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR(10)) AS cust_id, c_name AS biz_name, CAST(c_custkey % 9 AS BIGINT) AS reg_flow_rel_mgr_id, CAST(c_custkey % 14 AS BIGINT) AS flow_rel_mgr_id,
-       CAST(c_acctbal AS DECIMAL(18,2)) AS crnt_fa_limit FROM customer WHERE c_custkey < 60
+       CAST(c_acctbal AS DECIMAL(18,2)) AS crnt_fa_limit FROM customer
 """,
     "persons": """
 SELECT s_suppkey AS id, 'Supplier' AS first_name, CAST(NULL AS VARCHAR(10)) AS middle_name, substr(s_name, 10) AS last_name FROM supplier

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, scan
 
+# A statement covers the orders of five customers; three statements in a row belong to one borrower.
+BORROWER = "(num - num % 3) * 5"
+
 def _balances(start: int, rows: DataFrame, sizing: Sizing) -> DataFrame:
     def step(ordered: Ordered) -> DataFrame:
         summed = ordered.running_sum(F.col("delta"), "_moved").df
@@ -18,11 +21,12 @@ def _balances(start: int, rows: DataFrame, sizing: Sizing) -> DataFrame:
 def uatl_txn(orders: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     """Statements of the first provider: direction style, signed style and format 2."""
     o = orders.selectExpr(
-        "CAST(o_custkey % 100 AS INT) AS num",
-        "concat('U', lpad(CAST(o_custkey % 100 AS STRING), 4, '0')) AS run_id",
+        "CAST(o_custkey DIV 5 AS INT) AS num",
+        "format_string('U%04d', o_custkey DIV 5) AS run_id",
         "o_orderkey AS seq",
         "o_orderstatus",
-        "CASE WHEN o_custkey % 10 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS txn_date",
+        """CASE WHEN o_custkey DIV 5 % 20 = 0 THEN date_trunc('year', o_orderdate) WHEN o_custkey DIV 5 % 20 = 10 THEN date_trunc('quarter', o_orderdate)
+           WHEN o_custkey DIV 5 % 2 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS txn_date""",
         "CAST(o_totalprice AS DECIMAL(18,2)) AS amt",
         "CAST((o_orderkey % 4) * 100 AS DECIMAL(18,2)) AS fee",
         """CASE o_orderkey % 40 WHEN 0 THEN 'Commission Disbursement - wallet' WHEN 1 THEN 'Deallocation Transfer'
@@ -69,7 +73,7 @@ def umtn_txn(events: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     """Statements of the second provider, with its float balance as `balance`."""
     e = events.selectExpr(
         "CAST(user_id AS INT) AS num",
-        "concat('M', lpad(CAST(user_id AS STRING), 4, '0')) AS run_id",
+        "format_string('M%04d', user_id) AS run_id",
         "event_id AS seq",
         "date_trunc('hour', ts) AS txn_date",
         "CAST(value AS DECIMAL(18,2)) AS amount",
@@ -123,7 +127,7 @@ def statement_meta(txn: DataFrame, nation: DataFrame) -> DataFrame:
         "CASE WHEN num % 7 IN (0, 1, 3) THEN TIMESTAMP '2025-06-01 10:00:00' END AS meta_created_at",
         "CASE WHEN num % 7 IN (1, 3) THEN TIMESTAMP '2025-06-02 11:30:00' END AS meta_modified_at",
         "concat('/data/', run_id, CASE num % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.csv' WHEN 2 THEN '.xlsx' ELSE '.csv.gz' END) AS pdf_path",
-        "DATE '2025-03-01' + CAST(num AS INT) AS submitted_date",
+        "DATE '2025-03-01' + CAST(num % 3650 AS INT) AS submitted_date",
     )
 
 
@@ -133,13 +137,13 @@ def customer_details(meta: DataFrame, customer: DataFrame, supplier: DataFrame)
 
     c = customer.withColumnRenamed("c_custkey", "_cust")
     return (
-        meta.join(c, F.col("_cust") == F.col("num") % 60)
+        meta.join(c, F.col("_cust") == F.expr(BORROWER))
         .join(rm("reg_rm_name"), F.col("reg_rm_name_id") == F.col("num") % 9, "left")
         .join(rm("current_rm_name"), F.col("current_rm_name_id") == F.col("num") % 14, "left")
         .selectExpr(
             "run_id",
             "rm_name",
-            "CASE WHEN num % 31 = 0 THEN NULL ELSE CAST(num % 60 AS STRING) END AS cust_id",
+            f"CASE WHEN num % 31 = 0 THEN NULL ELSE CAST({BORROWER} AS STRING) END AS cust_id",
             "c_name AS borrower_biz_name",
             "CASE WHEN num % 2 = 0 THEN 'lead' ELSE 'reassessment_result' END AS final_entity_type",
             "reg_rm_name",
@@ -151,7 +155,7 @@ def customer_details(meta: DataFrame, customer: DataFrame, supplier: DataFrame)
 
 
 def loans(orders: DataFrame) -> DataFrame:
-    return orders.filter("o_custkey < 60").selectExpr(
+    return orders.selectExpr(
         "CAST(o_custkey AS STRING) AS cust_id",
         "concat('L', CAST(o_orderkey AS STRING)) AS loan_doc_id",
         "CAST(o_orderkey % 6 AS INT) AS product_id",
@@ -171,8 +175,8 @@ def loans(orders: DataFrame) -> DataFrame:
 
 def page_text(documents: DataFrame) -> DataFrame:
     return documents.selectExpr(
-        "concat('U', lpad(CAST(doc_id % 100 AS STRING), 4, '0')) AS run_id",
-        "CAST((doc_id - doc_id % 100) / 100 AS INT) + 1 AS page_no",
+        "format_string('U%04d', doc_id DIV 10) AS run_id",
+        "CAST(doc_id % 10 AS INT) + 1 AS page_no",
         """CASE WHEN doc_id % 17 = 0 THEN text
            WHEN doc_id % 19 = 0 THEN concat(text, chr(10), 'Transaction ID Transaction Type Description')
            WHEN doc_id % 23 = 0 THEN concat('Transation ID Description', chr(10), text, chr(10), 'Transaction ID From Account')
@@ -211,19 +215,19 @@ def customer_statements(meta: DataFrame) -> DataFrame:
 def leads(meta: DataFrame) -> DataFrame:
     return meta.selectExpr(
         "CAST(num AS BIGINT) AS id",
-        "CASE WHEN num % 31 = 0 THEN NULL ELSE CAST(num % 60 AS STRING) END AS cust_id",
+        f"CASE WHEN num % 31 = 0 THEN NULL ELSE CAST({BORROWER} AS STRING) END AS cust_id",
         "concat('Lead ', CAST(num AS STRING)) AS biz_name",
     ).distinct()
 
 
 def reassessments(meta: DataFrame) -> DataFrame:
     return meta.selectExpr(
-        "CAST(num AS BIGINT) AS id", "CAST(num % 60 AS STRING) AS cust_id", "CAST(num * 1000 AS DECIMAL(18,2)) AS prev_limit"
+        "CAST(num AS BIGINT) AS id", f"CAST({BORROWER} AS STRING) AS cust_id", "CAST(num * 1000 AS DECIMAL(18,2)) AS prev_limit"
     ).distinct()
 
 
 def borrowers(customer: DataFrame) -> DataFrame:
-    return customer.filter("c_custkey < 60").selectExpr(
+    return customer.selectExpr(
         "c_custkey AS id", "CAST(c_custkey AS STRING) AS cust_id", "c_name AS biz_name",
         "CAST(c_custkey % 9 AS BIGINT) AS reg_flow_rel_mgr_id", "CAST(c_custkey % 14 AS BIGINT) AS flow_rel_mgr_id",
         "CAST(c_acctbal AS DECIMAL(18,2)) AS crnt_fa_limit",
