@@ -350,6 +350,19 @@ def _(t):
     return S.wallet_rejects(wallet_lines(t))
 
 
+@query(
+    "s1_wallet_outcomes",
+    """SELECT path, 'SUCCESS' AS parsing_status, NULL::VARCHAR AS parsing_error, format, count(*) FILTER (WHERE txn_id <> '' AND amount IS NOT NULL) AS num_rows,
+       (arg_min(balance, seq) FILTER (WHERE txn_id <> '' AND amount IS NOT NULL))::DOUBLE AS first_balance, (arg_max(balance, seq) FILTER (WHERE txn_id <> '' AND amount IS NOT NULL))::DOUBLE AS last_balance
+       FROM csv_expected GROUP BY path, format
+       UNION ALL SELECT run_id, 'FAILED', 'Could not find transaction header in CSV', NULL, 0, NULL, NULL FROM statement_meta WHERE acc_prvdr_code = 'UMTN'""",
+)
+def _(t):
+    """The second provider's statements stand for files without a header."""
+    other = t.meta.filter("acc_prvdr_code = 'UMTN'").selectExpr("run_id AS path", "0L AS line_no", "concat('Customer Name,', rm_name) AS line")
+    return S.wallet_outcomes(wallet_lines(t).unionByName(other))
+
+
 @query(
     "s2_csv_preamble",
     """SELECT run_id AS path, concat(rm_name, ' Ltd') AS customer_name, acc_number AS mobile_number, concat('u', num, '@example.org') AS email_address, '01-Apr-25 to 30-Jun-25' AS statement_period, DATE '2025-07-30' AS request_date,

@@ -39,8 +39,9 @@ SHEET_COLUMNS = {
 MAPPER_SCHEMA = (
     "run_id string, acc_number string, rm_name string, acc_prvdr_code string, status string, lambda_status string, created_date date"
 )
-MAX_CELLS = 16
-CELLS = ", ".join(f"c{i} string" for i in range(MAX_CELLS))
+NO_HEADER = "Could not find transaction header in CSV"
+# A quoted cell (doubled quotes inside) or one without commas, and the comma after it.
+CELL = r'("(?:[^"]++|"")*+"|[^,]*+),'
 
 
 # -- wallet CSV ------------------------------------------------------------------------------
@@ -77,7 +78,7 @@ def headers(lines: DataFrame) -> DataFrame:
     found = lines.filter(_is_header(F.col("line"))).groupBy("path").agg(
         F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("_header")
     )
-    names = F.transform(F.split("_header", ","), lambda n: F.trim(F.btrim(n, F.lit('"\r '))))
+    names = F.transform(cells(F.col("_header")), lambda n: F.trim(F.btrim(n, F.lit('"\r '))))
     found = found.withColumn("_names", names)
     place = [
         F.nullif(F.array_position("_names", F.lit(title)).cast("int"), F.lit(0)).alias(name) for title, name in WALLET_COLUMNS.items()
@@ -89,9 +90,16 @@ def with_headers(lines: DataFrame) -> DataFrame:
     return lines.join(headers(lines), "path", "left")
 
 
+def cells(line: Column) -> Column:
+    """Cells of a line of any width, as they are written (quotes stay)."""
+    return F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1))
+
+
 def _cell(name: str) -> Column:
-    place = F.col(f"_at.{name}")
-    return F.elt(F.when(place <= MAX_CELLS, place), *[F.col(f"c{i}") for i in range(MAX_CELLS)])
+    """The cell in the column's place; NULL if it is empty or the line is too short."""
+    raw = F.nullif(F.get("_cells", F.col(f"_at.{name}") - 1), F.lit(""))
+    quoted = (F.length(raw) > 1) & raw.startswith('"') & raw.endswith('"')
+    return F.when(quoted, F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
 
 
 def _number(name: str) -> Column:
@@ -105,9 +113,9 @@ def wallet_rows(lines: DataFrame) -> DataFrame:
     # Kept an outer join on purpose: as an inner one it might broadcast the lines, not the headers.
     below = F.coalesce(F.col("line_no") > F.col("header_no"), F.lit(False))
     body = with_headers(lines).filter(below & (F.trim("line") != ""))
-    parsed = F.from_csv(F.rtrim(F.regexp_replace("line", "\r$", "")), F.lit(CELLS), {"escape": '"'})
-    # A generator, so that a line is parsed once and not once per field taken from it.
-    rows = body.select("*", F.inline(F.array(parsed)))
+    # A generator, so that a line is split once and not once per field taken from it.
+    split = F.array(cells(F.rtrim(F.regexp_replace("line", "\r$", ""))))
+    rows = body.select("*", F.explode(split).alias("_cells"))
     one = F.col("_at.direction").isNotNull()
     signed = _number("amount")
     debit = F.upper(F.trim(_cell("direction"))) == "DEBIT"
@@ -137,6 +145,26 @@ def wallet_rejects(lines: DataFrame) -> DataFrame:
     )
 
 
+def wallet_outcomes(lines: DataFrame) -> DataFrame:
+    """One row per file with any line: whether it could be read, why not, and what it holds."""
+    rows = parse_wallet(lines).groupBy("path").agg(
+        F.count(F.lit(1)).alias("num_rows"), F.min_by("balance", "line_no").alias("first_balance"), F.max_by("balance", "line_no").alias("last_balance")
+    )
+    form = F.when(F.col("_at.direction").isNotNull(), "format_1").otherwise("format_2")
+    known = headers(lines).select("path", form.alias("format"))
+    out = lines.select("path").distinct().join(known, "path", "left").join(rows, "path", "left")
+    found = F.col("format").isNotNull()
+    return out.select(
+        "path",
+        F.when(found, "SUCCESS").otherwise("FAILED").alias("parsing_status"),
+        F.when(~found, NO_HEADER).alias("parsing_error"),
+        "format",
+        F.coalesce("num_rows", F.lit(0)).alias("num_rows"),
+        "first_balance",
+        "last_balance",
+    )
+
+
 def preamble(lines: DataFrame) -> DataFrame:
     """Key/value lines above the header, one row per file. The first value of a key wins."""
     above = with_headers(lines).filter(F.col("header_no").isNull() | (F.col("line_no") < F.col("header_no")))

@@ -1,4 +1,8 @@
-"""Incremental landing of statement files: each run once, however often files are offered."""
+"""Incremental landing of statement files: each run once, however often files are offered.
+
+Beside the table of lines stands one of runs (`<table>-runs`, one row per run), so a batch is
+compared with the runs landed so far and not with their lines. `line_no` orders a file's lines.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,8 @@ def offered_lines(spark: SparkSession, folder: str) -> DataFrame:
     text = spark.readStream.option("recursiveFileLookup", True).text(folder)
     path = F.col("_metadata.file_path")
     by_folder = F.nullif(F.regexp_extract(path, "run_id=([^/]+)/", 1), F.lit(""))
-    return text.select(F.coalesce(by_folder, run_id_of(path)).alias("run_id"), path.alias("path"), F.col("value").alias("line"))
+    block = F.col("_metadata.file_block_start").alias("block")
+    return text.select(F.coalesce(by_folder, run_id_of(path)).alias("run_id"), path.alias("path"), block, F.col("value").alias("line"))
 
 
 def landed(spark: SparkSession, table: str) -> DataFrame | None:
@@ -28,16 +33,23 @@ def landed(spark: SparkSession, table: str) -> DataFrame | None:
 
 
 def _append_new(table: str):
+    runs_table = f"{table}-runs"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = landed(batch.sparkSession, table)
+        spark = batch.sparkSession
+        # Numbered before any join, while lines still come in the order of their file.
+        row = F.monotonically_increasing_id().alias("row")
+        lines = batch.withColumn("line_no", F.struct("block", row)).drop("block")
         # Of several files of one run in a batch the first path lands.
-        chosen = batch.groupBy("run_id").agg(F.min("path").alias("path"))
-        fresh = batch.join(chosen, ["run_id", "path"], "left_semi")
+        runs = batch.groupBy("run_id").agg(F.min("path").alias("path"))
+        known = landed(spark, runs_table)
         if known is not None:
             # A replayed batch must not see its own earlier attempt as already landed.
-            before = known.filter(F.col("batch_id") < batch_id).select("run_id").distinct()
-            fresh = fresh.join(before, "run_id", "left_anti")
+            runs = runs.join(known.filter(F.col("batch_id") < batch_id), "run_id", "left_anti")
         # One folder per batch, overwritten on replay: the write is idempotent.
+        chosen = f"{runs_table}/batch_id={batch_id}"
+        runs.write.mode("overwrite").parquet(chosen)
+        fresh = lines.join(spark.read.schema(runs.schema).parquet(chosen), ["run_id", "path"], "left_semi")
         fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return write

@@ -11,8 +11,8 @@ from ledgerproof.sources import statements as S
 from ledgerproof.streaming import landing
 
 FILE = (
-    "Airtel Money Statement\r\nBasic Info\r\nCustomer Name,Mary A\r\nMobile Number,700100200\r\nEmail Address,m@example.org\r\n"
-    'Statement Period,01-Apr-25 to 30-Jun-25\r\nRequest Date,"30 Jul, 2025"\r\nOpening Balance,"Ugx 3,887.80"\r\nClosing Balance,Ugx 15.80\r\n'
+    "Wallet\r\nOverview\r\nCustomer Name,Ines Q\r\nMobile Number,555012\r\nEmail Address,q@example.org\r\n"
+    'Statement Period,02-Jan-24 to 09-Feb-24\r\nRequest Date,"11 Mar, 2024"\r\nOpening Balance,"Ugx 6,120.25"\r\nClosing Balance,Ugx 44.75\r\n'
     "Transaction Details\r\nTransaction ID,Transaction Date,Description,Status,Transaction Amount,Credit/Debit,Fee,Balance\r\n"
     '1001,01-05-25 08:17 AM,"Sent, to ""Bob""",Transaction Successful,"1,500.00",Debit,10,"2,377.80"\r\n'
     "1002,01-May-25 09:00 AM,Received,Transaction Successful,20,Credit,,2397.80\r\n"
@@ -31,7 +31,7 @@ def test_wallet_csv_plain_and_gzip(spark, tmp_path):
     assert (one["1001"].txn_direction, one["1002"].txn_direction, float(one["1002"].fee)) == ("DR", "CR", 0.0)
     assert one["1003"].txn_date is None and one["1003"].balance is None and one["1003"].format == "format_1"
     for row in meta.collect():
-        assert (row.customer_name, row.mobile_number, float(row.opening_balance), str(row.request_date)) == ("Mary A", "700100200", 3887.8, "2025-07-30")
+        assert (row.customer_name, row.mobile_number, float(row.opening_balance), str(row.request_date)) == ("Ines Q", "555012", 6120.25, "2024-03-11")
     rejects = S.wallet_rejects(S.read_lines(spark, str(tmp_path)))
     assert {(r.bad_amounts, r.bad_dates) for r in rejects.collect()} == {(0, 1)}
 
@@ -119,3 +119,26 @@ def test_ids_over_38_digits_do_not_abort(spark):
 
     row = spark.createDataFrame([("9" * 39,), ("a12",)], "t string").select(forensic.longest_digits(F.col("t")).alias("n")).collect()
     assert [r.n and int(r.n) for r in row] == [None, 12]
+
+
+def test_wide_and_headerless_files(spark, tmp_path):
+    extra = [f"x{i}" for i in range(17)]
+    head = [*extra, "Transaction ID", "Transaction Date", "Transaction Amount", "Balance"]
+    row = ['"a, ""b"""', *extra[1:], "7", "01-05-25 08:17 AM", '"-1,250.50"', "9"]
+    (tmp_path / "wide.csv").write_text(",".join(head) + "\n" + ",".join(row) + "\n")
+    (tmp_path / "none.csv").write_text("Customer Name,Z\n")
+    lines = S.read_lines(spark, str(tmp_path))
+    assert [(r.txn_id, float(r.amount), float(r.balance), r.format) for r in S.parse_wallet(lines).collect()] == [("7", -1250.5, 9.0, "format_2")]
+    got = {r.path.split("/")[-1]: (r.parsing_status, r.parsing_error, r.num_rows) for r in S.wallet_outcomes(lines).collect()}
+    assert got == {"wide.csv": ("SUCCESS", None, 1), "none.csv": ("FAILED", S.NO_HEADER, 0)}
+
+
+def test_landed_lines_can_be_parsed(spark, tmp_path):
+    inbox, table = tmp_path / "in", str(tmp_path / "table")
+    for name in ("a", "b"):
+        (inbox / name).mkdir(parents=True)
+        (inbox / name / "r1.csv").write_bytes(FILE.encode())
+    landing.land(spark, str(inbox), table, str(tmp_path / "marks")).awaitTermination()
+    lines = landing.landed(spark, table)
+    assert sorted(r.txn_id for r in S.parse_wallet(lines).collect()) == ["1001", "1002", "1003"]
+    assert [r.num_rows for r in S.wallet_outcomes(lines).collect()] == [3]
