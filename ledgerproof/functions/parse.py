@@ -90,7 +90,7 @@ def amount(text: Column) -> Column:
 
 
 def currency(text: Column) -> Column:
-    """'Ugx 3,887.80' as a number."""
+    """'Ugx 1,234.50' as a number."""
     bare = F.regexp_replace(F.upper(text), "UGX|USH|,", "")
     return F.trim(bare).try_cast(AMOUNT)
 
@@ -157,8 +157,10 @@ def account_number(text: Column, fmt: Column) -> Column:
     return F.coalesce(two, _matched(text, r"(?is)Mobile Number\s*:.*?(\b\d{9}\b)"), _matched(text, r"(\b\d{9}\b)"))
 
 
-def header_fields(text: Column) -> dict[str, Column]:
-    """Labelled fields of a first page; the second pattern of a field is its fallback."""
+def header_fields(text: Column, fmt: Column | None = None) -> dict[str, Column]:
+    """Labelled fields of a first page; the second pattern of a field is its fallback. Pages of format 2 have none."""
+    if fmt is not None:
+        text = F.when(~fmt.eqNullSafe(F.lit("format_2")), text)
     out = {name: F.coalesce(*[_matched(text, p) for p in patterns]) for name, patterns in HEADER_PATTERNS.items()}
     for name in ("customer_name", "statement_period"):
         out[name] = one_line(out[name])

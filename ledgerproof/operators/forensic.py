@@ -198,6 +198,12 @@ def header_scan(pages: DataFrame) -> DataFrame:
     return out.select("run_id", "page_no", c("_n").cast("long").alias("header_rows"), reason.alias("reason"))
 
 
+def scannable(pages: DataFrame, statements: DataFrame, provider: str = "UATL", fmt: str = "format_2") -> DataFrame:
+    """Pages of the statements whose layout repeats its header row on each page."""
+    chosen = statements.filter((F.col("acc_prvdr_code") == provider) & (F.col("format") == fmt))
+    return pages.join(chosen.select("run_id").distinct(), "run_id", "left_semi")
+
+
 def header_rollup(scanned: DataFrame) -> DataFrame:
     flagged = F.col("reason").isNotNull()
     return scanned.groupBy("run_id").agg(

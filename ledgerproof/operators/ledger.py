@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import amounts as A
-from ledgerproof.operators.detect import VOTES, flag_special, mark_duplicates, mark_votes, signed_runs
+from ledgerproof.operators.detect import VOTES, flag_special, mark_duplicates, mark_votes
 from ledgerproof.operators.sequence import (
     ARRIVAL,
     BLOCK,
@@ -27,7 +27,7 @@ from ledgerproof.operators.sequence import (
     scan,
     split_hot,
 )
-from ledgerproof.operators.ties import resolve_ties, tie_delta
+from ledgerproof.operators.ties import MAX_TIED, resolve_ties, tie_delta
 
 RUN = ("run_id",)
 DAY_SECONDS = 24 * 3600
@@ -262,12 +262,28 @@ def run_strategies(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     return summarise(_split_scan(txn, replay_all, sizing), ("strategy", "run_id"))
 
 
+def replayable(txn: DataFrame) -> DataFrame:
+    """The rows `verify` gives back."""
+    return txn.filter((F.col("format") == "format_2") | F.col("txn_date").isNotNull())
+
+
 def undated_rows(txn: DataFrame) -> DataFrame:
     """Rows `verify` leaves out, counted per run."""
     lost = txn.filter(F.col("txn_date").isNull() & (F.col("format") != "format_2"))
     return lost.groupBy("run_id").agg(F.count(F.lit(1)).alias("undated_rows"))
 
 
+def left_in_printed_order(txn: DataFrame) -> DataFrame:
+    """Per run: undated rows, which `verify` leaves out, and groups too large to be ordered. Format 2 is
+    never re-ordered, nor is the first group of a run."""
+    groups = txn.filter("format <> 'format_2'").groupBy("run_id", "txn_date").agg(F.count(F.lit(1)).alias("n"))
+    dated, large = F.col("txn_date").isNotNull(), F.col("n") > MAX_TIED
+    return groups.groupBy("run_id").agg(
+        F.coalesce(F.sum(F.when(~dated, F.col("n"))), F.lit(0)).alias("undated_rows"),
+        (F.count_if(dated & large) - F.coalesce(F.min_by(large.cast("int"), "txn_date"), F.lit(0))).alias("large_groups"),
+    )
+
+
 # -- statement summary ------------------------------------------------------------------
 
 
@@ -324,18 +340,24 @@ def summarise(processed: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
 
 
 def credits_debits(txn: DataFrame) -> DataFrame:
-    """Totals per run by the statement's own convention; duplicates and specials count."""
-    facts = txn.join(signed_runs(txn), "run_id")
+    """Totals per run by the statement's own convention; duplicates and specials count. Both
+    readings are summed in one pass, as only the whole run says which one holds."""
     c = F.col
-    by_word = (c("format") == "format_1") & ~c("is_signed")
-    amount = A.money(c("amount"))
-    credit = F.when(by_word, A.is_credit(c("txn_direction"))).otherwise(c("amount") > 0)
-    debit = F.when(by_word, A.is_debit(c("txn_direction"))).otherwise(c("amount") < 0)
-    return facts.groupBy("run_id").agg(
-        F.coalesce(F.sum(F.when(credit, amount)), F.lit(0)).alias("credits"),
-        F.coalesce(F.sum(F.when(debit, F.when(by_word, amount).otherwise(-amount))), F.lit(0)).alias("debits"),
+    amount, direction = A.money(c("amount")), c("txn_direction")
+    wordy = c("format") == "format_1"
+    both = txn.groupBy("run_id").agg(
+        F.coalesce(F.bool_or(c("amount") < 0), F.lit(False)).alias("is_signed"),
+        F.sum(F.when(F.when(wordy, A.is_credit(direction)).otherwise(c("amount") > 0), amount)).alias("by_word_in"),
+        F.sum(F.when(F.when(wordy, A.is_debit(direction)).otherwise(c("amount") < 0), F.when(wordy, amount).otherwise(-amount))).alias("by_word_out"),
+        F.sum(F.when(c("amount") > 0, amount)).alias("by_sign_in"),
+        F.sum(F.when(c("amount") < 0, -amount)).alias("by_sign_out"),
     )
 
+    def chosen(side: str) -> Column:
+        return F.coalesce(F.when(c("is_signed"), c(f"by_sign_{side}")).otherwise(c(f"by_word_{side}")), F.lit(0))
+
+    return both.select("run_id", chosen("in").alias("credits"), chosen("out").alias("debits"))
+
 
 def date_span(txn: DataFrame) -> DataFrame:
     """First / last day and balance, and row count, in arrival order of each date."""
@@ -352,7 +374,7 @@ def date_span(txn: DataFrame) -> DataFrame:
 # -- closed-form balance (no replay) ------------------------------------------------------
 
 
-def closed_form_summary(txn: DataFrame, segmented: bool = True) -> DataFrame:
+def closed_form_summary(txn: DataFrame, segmented: bool = True, with_restarts: bool = False) -> DataFrame:
     """Opening plus totals; fees in or out, whichever lands closer; format 2 restarts from
     the printed balance at its restart rows. Aggregates only: no ordered scan is needed,
     since everything after the last restart is a conditional sum."""
@@ -361,6 +383,7 @@ def closed_form_summary(txn: DataFrame, segmented: bool = True) -> DataFrame:
     last_restart = df.groupBy("run_id").agg(
         F.max(F.when(c("balance_restart"), c("_rank"))).alias("_last"),
         F.max_by("balance", F.when(c("balance_restart"), c("_rank"))).alias("_restart_balance"),
+        F.count_if("balance_restart").alias("_restarts"),
     )
     df = df.join(last_restart, "run_id")
     after = c("_last").isNull() | (c("_rank") > c("_last"))
@@ -373,6 +396,7 @@ def closed_form_summary(txn: DataFrame, segmented: bool = True) -> DataFrame:
         F.min_by(F.struct("balance", "amount", "fee", "txn_direction"), "_rank").alias("f"),
         F.max_by("balance", "_rank").alias("stmt_closing_balance"),
         F.any_value("_restart_balance").alias("_restart_balance"),
+        F.any_value("_restarts").alias("restarts"),
         F.sum(F.when(F.when(is_two, c("amount") > 0).otherwise(word == "credit"), amount).otherwise(zero)).alias("credits"),
         F.sum(F.when(F.when(is_two, c("amount") < 0).otherwise(word == "debit"), F.when(is_two, -amount).otherwise(amount)).otherwise(zero)).alias("debits"),
         F.sum(fee).alias("fees"),
@@ -395,12 +419,11 @@ def closed_form_summary(txn: DataFrame, segmented: bool = True) -> DataFrame:
     out = out.withColumn("balance_match", F.when(c("balance_diff") < F.lit(A.TOLERANCE), "Success").otherwise("Failed"))
     return out.select(
         "run_id", "format", "opening_balance", "credits", "debits", "fees", F.lit(0).cast(A.MONEY).alias("charges"),
-        "calculated_closing_balance", "stmt_closing_balance", "balance_diff", "balance_match",
+        "calculated_closing_balance", "stmt_closing_balance", "balance_diff", "balance_match", *(["restarts"] if with_restarts else []),
     )
 
 
 def segmented_close(txn: DataFrame) -> DataFrame:
     """Closing balance that starts over at every restart row, for marked format-2 rows."""
-    summary = closed_form_summary(txn.filter(F.col("format") == "format_2"))
-    marks = txn.groupBy("run_id").agg(F.count_if("balance_restart").alias("restarts"))
-    return summary.join(marks, "run_id").select("run_id", "restarts", "opening_balance", "calculated_closing_balance")
+    summary = closed_form_summary(txn.filter(F.col("format") == "format_2"), with_restarts=True)
+    return summary.select("run_id", "restarts", "opening_balance", "calculated_closing_balance")

@@ -117,25 +117,28 @@ MAPPED = ("rm_name", "acc_prvdr_code", "acc_number", "created_date")
 
 
 def enrich(meta: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Mapping values override parsed ones: the customer table first, then the mapper file."""
+    """Mapping values override parsed ones. A run takes them from the customer table if it is there, else from
+    the mapper file; of several rows of a run the earliest counts. What the source leaves open stays as parsed."""
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("run_id", *[F.col(c).alias(f"_{tag}_{c}") if c in df.columns else F.lit(None).alias(f"_{tag}_{c}") for c in MAPPED])
+        # The date first: the least struct is the earliest row.
+        names = [c for c in reversed(MAPPED) if c in df.columns]
+        return df.groupBy("run_id").agg(F.min(F.struct(*names)).alias(tag))
 
-    out = meta.join(side(primary, "p"), "run_id", "left").join(side(fallback, "f"), "run_id", "left")
+    out = meta.join(side(primary, "_p"), "run_id", "left").join(side(fallback, "_f"), "run_id", "left")
 
     def pick(name: str, own: str) -> Column:
-        return F.coalesce(f"_p_{name}", f"_f_{name}", own)
+        p, f = (F.col(f"{tag}.{name}") if name in df.columns else F.lit(None) for tag, df in (("_p", primary), ("_f", fallback)))
+        return F.coalesce(F.when(F.col("_p").isNotNull(), p).otherwise(f), F.col(own))
 
-    out = out.withColumns(
+    return out.withColumns(
         {
             "rm_name": pick("rm_name", "rm_name"),
             "acc_prvdr_code": pick("acc_prvdr_code", "acc_prvdr_code"),
             "acc_number": pick("acc_number", "acc_number"),
             "submitted_date": pick("created_date", "submitted_date"),
         }
-    )
-    return out.drop(*[f"_{t}_{c}" for t in "pf" for c in MAPPED])
+    ).drop("_p", "_f")
 
 
 def fill_missing(meta: DataFrame, spans: DataFrame, mapper: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -449,9 +449,9 @@ def mostly_gaps(unified: DataFrame, top: int = 20) -> DataFrame:
     ).orderBy(F.desc("gap_percentage"), "run_id").limit(top)
 
 
-def reversals_of_failed(summary: DataFrame, processed: DataFrame) -> DataFrame:
+def reversals_of_failed(summary: DataFrame, flagged: DataFrame) -> DataFrame:
     """Reversals are counted per run before the join, so long statements stay cheap."""
-    n = processed.filter("special_txn_type = 'Transaction Reversal'").groupBy("run_id").agg(F.count(F.lit(1)).alias("reversal_count"))
+    n = flagged.filter("special_txn_type = 'Transaction Reversal'").groupBy("run_id").agg(F.count(F.lit(1)).alias("reversal_count"))
     failed = summary.filter("balance_match = 'Failed'").select("run_id", "acc_number", "balance_diff_changes", "verification_status")
     return failed.join(n, "run_id").orderBy(F.desc("reversal_count"), "run_id")
 
@@ -465,9 +465,10 @@ def provider_statements(summary: DataFrame) -> DataFrame:
     )
 
 
-def provider_rows(processed: DataFrame) -> DataFrame:
-    return processed.groupBy(F.col("acc_prvdr_code").alias("provider")).agg(
-        F.count(F.lit(1)).alias("total_transactions"), n_if(F.col("is_duplicate")).alias("duplicates")
+def provider_rows(summary: DataFrame) -> DataFrame:
+    """Rows and duplicates, from the statements' own counts."""
+    return summary.groupBy(F.col("acc_prvdr_code").alias("provider")).agg(
+        F.sum("num_rows").alias("total_transactions"), F.sum("duplicate_count").alias("duplicates")
     )
 
 

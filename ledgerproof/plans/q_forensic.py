@@ -128,6 +128,7 @@ SELECT run_id, page_no, CASE WHEN text = '' THEN 0 ELSE n END AS header_rows,
             WHEN page_no > 1 AND places[1] > expected THEN concat('Header at line ', places[1], ' (expected at line ', expected, ')') END AS reason
 FROM page_heads
 """,
+    "scanned_two": "SELECT * FROM scanned WHERE run_id IN (SELECT run_id FROM statement_meta WHERE acc_prvdr_code = 'UATL' AND format = 'format_2')",
 }
 
 
@@ -138,21 +139,21 @@ def _(t):
 
 @query(
     "f12_header_rollup",
-    "SELECT run_id, bool_or(reason IS NOT NULL) AS is_manipulated, count(reason) AS flagged_pages, count(*) AS pages, sum(header_rows)::BIGINT AS header_rows FROM scanned GROUP BY run_id",
+    "SELECT run_id, bool_or(reason IS NOT NULL) AS is_manipulated, count(reason) AS flagged_pages, count(*) AS pages, sum(header_rows)::BIGINT AS header_rows FROM scanned_two GROUP BY run_id",
     HEADERS,
 )
 def _(t):
-    return forensic.header_rollup(forensic.header_scan(t.pages))
+    return forensic.header_rollup(forensic.header_scan(forensic.scannable(t.pages, t.meta)))
 
 
 @query(
     "f13_header_cross_tab",
     """SELECT is_manipulated, count(*) FILTER (WHERE balance_match = 'Success') AS matched, count(*) FILTER (WHERE balance_match = 'Failed') AS mismatched
-       FROM (SELECT run_id, bool_or(reason IS NOT NULL) AS is_manipulated FROM scanned GROUP BY run_id) JOIN summary USING (run_id) GROUP BY is_manipulated""",
+       FROM (SELECT run_id, bool_or(reason IS NOT NULL) AS is_manipulated FROM scanned_two GROUP BY run_id) JOIN summary USING (run_id) GROUP BY is_manipulated""",
     HEADERS,
 )
 def _(t):
-    return forensic.header_cross_tab(forensic.header_rollup(forensic.header_scan(t.pages)), t.summary)
+    return forensic.header_cross_tab(forensic.header_rollup(forensic.header_scan(forensic.scannable(t.pages, t.meta))), t.summary)
 
 
 ALL = {

@@ -22,9 +22,9 @@ def _(t):
     return ledger.normalise_signs(t.umtn, t.sizing).filter("txn_type = 'ADJUSTMENT'").select("run_id", "seq", "amount")
 
 
-@query("d1_duplicates", "SELECT run_id, seq, txn_id, is_duplicate FROM flagged WHERE acc_prvdr_code = 'UATL'")
+@query("d1_duplicates", "SELECT run_id, seq, txn_id, is_duplicate FROM flagged")
 def _(t):
-    return detect.flag_duplicates(t.uatl, t.sizing).select("run_id", "seq", "txn_id", "is_duplicate")
+    return detect.flag_duplicates(ledger.normalise_signs(t.txn, t.sizing), t.sizing).select("run_id", "seq", "txn_id", "is_duplicate")
 
 
 @query("d2_special_transactions", "SELECT run_id, seq, special_txn_type IS NOT NULL AS is_special_txn, special_txn_type FROM flagged")
@@ -113,6 +113,15 @@ def _(t):
     return ledger.verify(t.uatl.filter("format = 'format_1'"), t.sizing, keep=()).select("run_id", "seq", "pos")
 
 
+@query(
+    "b2_left_in_printed_order",
+    """SELECT run_id, coalesce(sum(n) FILTER (WHERE txn_date IS NULL), 0)::BIGINT AS undated_rows, count(*) FILTER (WHERE n > 6 AND txn_date > first_date) AS large_groups
+       FROM (SELECT run_id, txn_date, count(*) AS n, min(txn_date) OVER (PARTITION BY run_id) AS first_date FROM txn WHERE format <> 'format_2' GROUP BY run_id, txn_date) GROUP BY run_id""",
+)
+def _(t):
+    return ledger.left_in_printed_order(t.txn)
+
+
 @query("b3_tie_order_sheets", "SELECT run_id, seq, pos FROM processed WHERE acc_prvdr_code = 'UMTN'")
 def _(t):
     return ledger.verify(t.umtn, t.sizing, keep=()).select("run_id", "seq", "pos")

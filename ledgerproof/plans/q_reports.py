@@ -108,9 +108,9 @@ def _(t):
 
 @query(
     "j8_enrich_metadata",
-    """SELECT m.run_id, coalesce(c.rm_name, x.rm_name, m.rm_name) AS rm_name, coalesce(x.acc_prvdr_code, m.acc_prvdr_code) AS acc_prvdr_code, coalesce(x.acc_number, m.acc_number) AS acc_number,
-       coalesce(x.created_date, m.submitted_date) AS submitted_date
-       FROM statement_meta m LEFT JOIN (SELECT run_id, reg_rm_name AS rm_name FROM customer_details WHERE cust_id IS NOT NULL) c USING (run_id) LEFT JOIN mapper x USING (run_id)""",
+    """SELECT m.run_id, coalesce(CASE WHEN c.known THEN c.rm_name ELSE x.rm_name END, m.rm_name) AS rm_name, CASE WHEN c.known THEN m.acc_prvdr_code ELSE coalesce(x.acc_prvdr_code, m.acc_prvdr_code) END AS acc_prvdr_code,
+       CASE WHEN c.known THEN m.acc_number ELSE coalesce(x.acc_number, m.acc_number) END AS acc_number, CASE WHEN c.known THEN m.submitted_date ELSE coalesce(x.created_date, m.submitted_date) END AS submitted_date
+       FROM statement_meta m LEFT JOIN (SELECT run_id, reg_rm_name AS rm_name, true AS known FROM customer_details WHERE cust_id IS NOT NULL) c USING (run_id) LEFT JOIN mapper x USING (run_id)""",
 )
 def _(t):
     primary = t.customers.filter("cust_id is not null").select("run_id", F.col("reg_rm_name").alias("rm_name"))
@@ -475,11 +475,11 @@ def _(t):
 @query(
     "a22_repeat_offenders",
     """SELECT acc_number, count(*) AS statements, sum(duplicate_count)::BIGINT AS total_duplicates, round(avg(balance_diff_change_ratio), 4) AS avg_change_ratio FROM unified
-       WHERE run_id IN (SELECT run_id FROM scanned WHERE reason IS NOT NULL) GROUP BY acc_number HAVING count(*) > 1""",
+       WHERE run_id IN (SELECT run_id FROM scanned_two WHERE reason IS NOT NULL) GROUP BY acc_number HAVING count(*) > 1""",
     HEADERS,
 )
 def _(t):
-    return reports.repeat_offenders(t.unified, forensic.header_rollup(forensic.header_scan(t.pages)))
+    return reports.repeat_offenders(t.unified, forensic.header_rollup(forensic.header_scan(forensic.scannable(t.pages, t.meta))))
 
 
 @query(
@@ -589,7 +589,7 @@ def _(t):
     """SELECT run_id, u.acc_number, u.balance_diff_changes, u.verification_status, n AS reversal_count FROM unified u JOIN (SELECT run_id, count(*) AS n FROM processed WHERE special_txn_type = 'Transaction Reversal' GROUP BY run_id) USING (run_id) WHERE balance_match = 'Failed'""",
 )
 def _(t):
-    return reports.reversals_of_failed(t.unified, t.replay)
+    return reports.reversals_of_failed(t.unified, detect.flag_special(ledger.replayable(t.txn)))
 
 
 @query(
@@ -602,7 +602,7 @@ def _(t):
 
 @query("a40_provider_rows", "SELECT acc_prvdr_code AS provider, count(*) AS total_transactions, count(*) FILTER (WHERE is_duplicate) AS duplicates FROM processed GROUP BY 1")
 def _(t):
-    return reports.provider_rows(t.replay)
+    return reports.provider_rows(t.summary)
 
 
 @query("a41_accounts_at_several", "SELECT acc_number, string_agg(DISTINCT acc_prvdr_code, ',' ORDER BY acc_prvdr_code) AS providers, count(*) AS statement_count FROM statement_meta GROUP BY 1 HAVING count(DISTINCT acc_prvdr_code) > 1")

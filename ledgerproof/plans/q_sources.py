@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import parse as P
-from ledgerproof.operators import reports
+from ledgerproof.operators import ledger, reports
 from ledgerproof.plans.oracles import BLOCKS
 from ledgerproof.plans.q_reports import mapper
 from ledgerproof.plans.registry import query
@@ -48,8 +48,8 @@ RAW = [
     "concat(' T', CAST(o_orderkey AS STRING), ' ') AS txn_id",
     f"""CASE CASE WHEN o_orderkey % 99 = 50 THEN 9 ELSE o_orderkey % 9 END WHEN 9 THEN 'n/a' WHEN 0 THEN concat('-+', {_A}) WHEN 1 THEN concat('+', {_A}) WHEN 2 THEN {_COMMAS} WHEN 3 THEN '' WHEN 4 THEN 'nan'
         WHEN 5 THEN concat({_A}, 'UGX') WHEN 6 THEN concat('  ', {_A}, ' ') WHEN 7 THEN concat('--', {_A}) ELSE concat('-', {_A}) END AS amount""",
-    """CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1,250' WHEN 3 THEN '8502200500' ELSE '100.50' END AS fee""",
-    f"""CASE o_orderkey % 26 WHEN 3 THEN '.02052102.03' WHEN 4 THEN concat('-', {_A}) WHEN 5 THEN concat({_A}, '-') WHEN 6 THEN 'x12' WHEN 7 THEN 'None'
+    """CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1,250' WHEN 3 THEN '7301100400' ELSE '100.50' END AS fee""",
+    f"""CASE o_orderkey % 26 WHEN 3 THEN '.04163057.08' WHEN 4 THEN concat('-', {_A}) WHEN 5 THEN concat({_A}, '-') WHEN 6 THEN 'x12' WHEN 7 THEN 'None'
         WHEN 8 THEN concat({_A}, ' CR') ELSE {_COMMAS} END AS balance""",
     f"""CASE o_orderkey % 6 WHEN 0 THEN concat({_DAY}, '-', {_MON}, '-', {_YY}, ' ', {_H12}, ':', {_MIN}, ' ', {_AMPM}) WHEN 1 THEN concat({_DAY}, '-', {_MON}, '-', {_YY}, ' ', {_H24}, ':', {_MIN})
         WHEN 2 THEN concat({_YEAR}, '-', {_MON}, '-', {_DAY}, ' ', {_H24}, ':', {_MIN}, ':07') WHEN 3 THEN concat({_YEAR}, '-', {_MON}, '-', {_DAY}, chr(10), {_H24}, ':', {_MIN}, ':07')
@@ -191,19 +191,19 @@ def _(t):
 PAGE = """concat('AIRTEL MONEY STATEMENT', chr(10), CASE WHEN c_custkey % 5 = 4 THEN '' ELSE concat('Customer  Name : Ms ', c_mktsegment, chr(10)) END,
   CASE WHEN c_custkey % 7 = 6 THEN concat('256', CAST(700000000 + c_custkey AS STRING), ' ', CAST(710000000 + c_custkey AS STRING)) ELSE concat('Mobile Number : 256', CAST(700000000 + c_custkey AS STRING), ' or ', CAST(720000000 + c_custkey AS STRING)) END, chr(10),
   CASE c_custkey % 3 WHEN 0 THEN concat('Email Address: user', CAST(c_custkey AS STRING), '@mail.example.org') WHEN 1 THEN concat('write to other.', CAST(c_custkey AS STRING), '@example.com today') ELSE 'no mail' END, chr(10),
-  'Statement Period : 01-Sep-2025', ' to 30-Sep-2025', chr(10), 'Request Date: 23 Jul, 2025', chr(10),
+  'Statement Period : 04-Nov-2024', ' to 19-Dec-2024', chr(10), 'Request Date: 17 Jan, 2025', chr(10),
   CASE WHEN c_custkey % 2 = 0 THEN 'Opening Balance : UGX 1,' ELSE 'Opening Balance: 1,' END, lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '.50', chr(10), 'Closing Balance: UGX ', CAST(c_custkey AS STRING), '.75')"""
 
 
 @query(
     "c14_header_fields",
-    """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('user', c_custkey, '@mail.example.org') WHEN 1 THEN concat('other.', c_custkey, '@example.com') END AS email_address,
-       CASE WHEN c_custkey % 5 <> 4 THEN concat('Ms ', c_mktsegment) END AS customer_name, CASE WHEN c_custkey % 7 <> 6 THEN concat('256', 700000000 + c_custkey) END AS mobile_number, '01-Sep-2025 to 30-Sep-2025' AS statement_period, DATE '2025-07-23' AS request_date,
-       1000.5 + c_custkey % 1000 AS opening_balance, c_custkey + 0.75 AS closing_balance FROM customer""".replace("1000.5 + c_custkey % 1000 AS", "(1000.5 + c_custkey % 1000)::DOUBLE AS").replace("c_custkey + 0.75 AS", "(c_custkey + 0.75)::DOUBLE AS"),
+    """SELECT id, CASE WHEN id % 11 <> 3 THEN email_address END AS email_address, CASE WHEN id % 11 <> 3 THEN customer_name END AS customer_name, CASE WHEN id % 11 <> 3 THEN mobile_number END AS mobile_number, CASE WHEN id % 11 <> 3 THEN statement_period END AS statement_period, CASE WHEN id % 11 <> 3 THEN request_date END AS request_date, CASE WHEN id % 11 <> 3 THEN opening_balance END AS opening_balance, CASE WHEN id % 11 <> 3 THEN closing_balance END AS closing_balance FROM (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('user', c_custkey, '@mail.example.org') WHEN 1 THEN concat('other.', c_custkey, '@example.com') END AS email_address,
+       CASE WHEN c_custkey % 5 <> 4 THEN concat('Ms ', c_mktsegment) END AS customer_name, CASE WHEN c_custkey % 7 <> 6 THEN concat('256', 700000000 + c_custkey) END AS mobile_number, '04-Nov-2024 to 19-Dec-2024' AS statement_period, DATE '2025-01-17' AS request_date,
+       1000.5 + c_custkey % 1000 AS opening_balance, c_custkey + 0.75 AS closing_balance FROM customer)""".replace("1000.5 + c_custkey % 1000 AS", "(1000.5 + c_custkey % 1000)::DOUBLE AS").replace("c_custkey + 0.75 AS", "(c_custkey + 0.75)::DOUBLE AS"),
 )
 def _(t):
-    fields = P.header_fields(F.col("page"))
-    return t.read("customer").selectExpr("c_custkey AS id", f"{PAGE} AS page").select("id", *[c.alias(n) for n, c in fields.items()])
+    fields = P.header_fields(F.col("page"), F.col("format"))
+    return t.read("customer").selectExpr("c_custkey AS id", f"{PAGE} AS page", "CASE WHEN c_custkey % 11 = 3 THEN 'format_2' ELSE 'format_1' END AS format").select("id", *[c.alias(n) for n, c in fields.items()])
 
 
 @query(
@@ -319,8 +319,8 @@ def wallet_lines(t):
         F.concat(F.lit("Customer Name,"), F.col("rm_name"), F.lit(" Ltd")),
         F.concat(F.lit("Mobile Number,"), F.col("acc_number")),
         F.concat(F.lit("Email Address,u"), F.col("num").cast("string"), F.lit("@example.org")),
-        F.lit("Statement Period,01-Apr-25 to 30-Jun-25"),
-        F.lit('Request Date,"30 Jul, 2025"'),
+        F.lit("Statement Period,06-Feb-25 to 21-Mar-25"),
+        F.lit('Request Date,"08 Apr, 2025"'),
         F.concat(F.lit('Opening Balance,"Ugx 3,'), F.lpad(F.col("num").cast("string"), 3, "0"), F.lit('.80"')),
         F.concat(F.lit("Closing Balance,Ugx "), F.col("num").cast("string"), F.lit(".80")),
         F.lit("Transaction Details"),
@@ -365,7 +365,7 @@ def _(t):
 
 @query(
     "s2_csv_preamble",
-    """SELECT run_id AS path, concat(rm_name, ' Ltd') AS customer_name, acc_number AS mobile_number, concat('u', num, '@example.org') AS email_address, '01-Apr-25 to 30-Jun-25' AS statement_period, DATE '2025-07-30' AS request_date,
+    """SELECT run_id AS path, concat(rm_name, ' Ltd') AS customer_name, acc_number AS mobile_number, concat('u', num, '@example.org') AS email_address, '06-Feb-25 to 21-Mar-25' AS statement_period, DATE '2025-04-08' AS request_date,
        (3000.8 + num)::DOUBLE AS opening_balance, (num + 0.8)::DOUBLE AS closing_balance FROM statement_meta WHERE acc_prvdr_code = 'UATL'""",
 )
 def _(t):
@@ -501,7 +501,7 @@ def _(t):
     return t.meta.select("run_id", S.format_tag(F.col("acc_prvdr_code"), F.col("num") % 3).alias("format"))
 
 
-_TREE = "SELECT run_id, seq AS at, md5(concat_ws(',', txn_id, strftime(txn_date, '%Y-%m-%d %H:%M:%S'), description, amount::VARCHAR, balance::VARCHAR)) AS h FROM txn"
+_TREE = "SELECT run_id, seq AS at, md5(concat_ws(',', " + ", ".join(f"coalesce(length({v})::VARCHAR || ':' || {v}, '-')" for v in ("txn_id", "strftime(txn_date, '%Y-%m-%d %H:%M:%S')", "description", "amount::VARCHAR", "balance::VARCHAR")) + ")) AS h FROM txn"
 for _level in range(S.LEVELS):
     _TREE = f"SELECT run_id, at // {S.FANOUT} AS at, md5(string_agg(h, chr(10) ORDER BY at)) AS h FROM ({_TREE}) GROUP BY 1, 2"
 
@@ -517,7 +517,10 @@ def _(t):
 
 @query("s15_processed_export", "SELECT run_id, txn_date, seq, acc_prvdr_code, calc::DOUBLE AS calculated_running_balance FROM processed WHERE run_id IN ('U0007', 'M0004')")
 def _(t):
-    out = sinks.processed_rows(t.processed, run_ids=["U0007", "M0004"])
+    chosen = ["U0007", "M0004"]
+    # Statements are independent, so the choice is made before the replay.
+    done = ledger.verify(t.txn.filter(F.col("run_id").isin(chosen)), t.sizing, keep=())
+    out = sinks.processed_rows(done, run_ids=chosen)
     return out.select("run_id", "txn_date", "seq", "acc_prvdr_code", "calculated_running_balance")
 
 

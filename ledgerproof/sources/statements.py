@@ -333,8 +333,9 @@ def format_tag(provider: Column, pdf_format: Column) -> Column:
 
 
 def with_provider(files: DataFrame, mapper: DataFrame) -> DataFrame:
-    """Provider of a file: the mapping, else its extension, for CSV its content."""
-    known = mapper.select("run_id", F.col("acc_prvdr_code").alias("_mapped"))
+    """Provider of a file: the mapping (a run's earliest), else its extension, for CSV its content."""
+    first = F.min_by("acc_prvdr_code", F.struct("created_date", "acc_prvdr_code"))
+    known = mapper.groupBy("run_id").agg(first.alias("_mapped"))
     ext = F.lower(F.regexp_extract("name", r"([^.]*)$", 1))
     wallet = F.coalesce(F.col("content").contains("Airtel Money"), F.lit(False))
     guess = (
@@ -376,8 +377,10 @@ LEVELS = 6  # 4096^6 exceeds any arrival number, so one node is left
 
 def fingerprints(rows: DataFrame, columns: list[str]) -> DataFrame:
     """md5 per run over its rows in arrival order, as a tree: each level digests at most
-    4096 neighbours (by arrival number), so no task sees a whole statement."""
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    4096 neighbours (by arrival number), so no task sees a whole statement. Values are written with
+    their length, and NULL as a dash, so a comma inside a value can't pass for one between values."""
+    texts = [F.col(c).cast("string") for c in columns]
+    line = F.concat_ws(",", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in texts])
     level = rows.select("run_id", F.col("seq").alias("_at"), F.md5(line).alias("_h"))
     for _ in range(LEVELS):
         level = level.withColumn("_up", F.floor(F.col("_at") / FANOUT))

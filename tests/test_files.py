@@ -76,6 +76,12 @@ def test_landing_takes_each_run_once(spark, tmp_path):
     assert {r["run_id"]: r["count"] for r in got} == {"r1": 2, "r2": 1}
 
 
+def test_fingerprint_keeps_values_apart(spark):
+    rows = [("A", 1, "x,y", "z"), ("B", 1, "x", "y,z"), ("C", 1, None, "z"), ("D", 1, "", "z"), ("E", 1, "-", "z")]
+    df = spark.createDataFrame(rows, "run_id string, seq long, t string, u string")
+    assert S.fingerprints(df, ["t", "u"]).select("sheet_md5").distinct().count() == len(rows)
+
+
 def test_fingerprint_depends_on_rows_and_order(spark):
     rows = [("A", i, f"x{i}") for i in range(5000)]
     swapped = [("B", i, t) for _, i, t in rows]
@@ -84,7 +90,7 @@ def test_fingerprint_depends_on_rows_and_order(spark):
     df = spark.createDataFrame(rows + swapped + same, "run_id string, seq long, t string").repartition(7)
     got = {r.run_id: r.sheet_md5 for r in S.fingerprints(df, ["t"]).collect()}
     assert got["A"] == got["C"] != got["B"]
-    leaves = [hashlib.md5("\n".join(hashlib.md5(t.encode()).hexdigest() for _, _, t in part).encode()).hexdigest() for part in (rows[:4096], rows[4096:])]
+    leaves = [hashlib.md5("\n".join(hashlib.md5(f"{len(t)}:{t}".encode()).hexdigest() for _, _, t in part).encode()).hexdigest() for part in (rows[:4096], rows[4096:])]
     top = hashlib.md5("\n".join(leaves).encode()).hexdigest()
     for _ in range(S.LEVELS - 2):
         top = hashlib.md5(top.encode()).hexdigest()

@@ -36,20 +36,20 @@ def test_number_text(spark):
 
 
 def test_overlap_takes_the_trailing_number(spark):
-    got = values(spark, lambda c: P.overlap_balance(F.lit("8502200500"), c), [".02052102.03"])
-    assert got == ["02052102.03"]
-    assert values(spark, lambda c: P.is_overlapped(c, F.lit(".5")), ["8502200500", "100", "x", ""]) == [True, False, False, False]
+    got = values(spark, lambda c: P.overlap_balance(F.lit("7301100400"), c), [".04163057.08"])
+    assert got == ["04163057.08"]
+    assert values(spark, lambda c: P.is_overlapped(c, F.lit(".5")), ["7301100400", "100", "x", ""]) == [True, False, False, False]
 
 
 def test_overlap_alone_is_not_a_quality_issue(spark):
     raw = spark.createDataFrame(
-        [("R", "format_1", " T1 ", "01-02-25 10:00 AM", "a\r\nb  c", " ok", "100", " Cr", "8502200500", ".02052102.03"),
+        [("R", "format_1", " T1 ", "01-02-25 10:00 AM", "a\r\nb  c", " ok", "100", " Cr", "7301100400", ".04163057.08"),
          ("R", "format_1", "T2", "2025-02-01\n07:16:11", "x", "ok", "1,00", "Dr", "abc", "5-")],
         "run_id string, format string, txn_id string, txn_date string, description string, status string, amount string, "
         "txn_direction string, fee string, balance string",
     )
     one, two = S.clean_txn(raw).orderBy("txn_id").collect()
-    assert (one.fee, one.balance, one.has_quality_issue, one.description) == (D(0), D("2052102.03"), True, "a b c")
+    assert (one.fee, one.balance, one.has_quality_issue, one.description) == (D(0), D("4163057.08"), True, "a b c")
     assert (two.amount, two.fee, two.balance, two.has_quality_issue) == (D(100), D(0), D(5), True)
     assert two.txn_date == datetime(2025, 2, 1, 7, 16, 11)
 
@@ -63,8 +63,8 @@ def test_timestamps(spark):
 
 
 def test_request_dates(spark):
-    texts = ["01-Sep-2025", "23 Jul, 2025", "01 September 2025", '"30 July, 2025"', "2025-09-01", "01/09/2025", "x"]
-    want = [date(2025, 9, 1), date(2025, 7, 23), date(2025, 9, 1), date(2025, 7, 30), date(2025, 9, 1), date(2025, 9, 1), None]
+    texts = ["04-Nov-2024", "17 Jan, 2025", "04 November 2024", '"08 April, 2025"', "2024-11-04", "04/11/2024", "x"]
+    want = [date(2024, 11, 4), date(2025, 1, 17), date(2024, 11, 4), date(2025, 4, 8), date(2024, 11, 4), date(2024, 11, 4), None]
     assert values(spark, P.request_date, texts) == want
 
 
@@ -74,8 +74,8 @@ def test_document_dates(spark):
 
 
 def test_currency_and_csv_values(spark):
-    assert values(spark, P.currency, ["Ugx 3,887.80", "USH15", "", "abc"]) == [D("3887.80"), D("15.00"), None, None]
-    assert values(spark, P.csv_value, [' "30 Jul, 2025"', 'abc",', ""]) == ["30 Jul, 2025", "abc", ""]
+    assert values(spark, P.currency, ["Ugx 9,214.35", "USH15", "", "abc"]) == [D("9214.35"), D("15.00"), None, None]
+    assert values(spark, P.csv_value, [' "08 Apr, 2025"', 'abc",', ""]) == ["08 Apr, 2025", "abc", ""]
 
 
 def test_accounts(spark):
@@ -138,3 +138,11 @@ def test_filters_ignore_case_and_quote_nothing(spark):
     df = spark.createDataFrame([("U'1", "700", "Ann"), ("M2", "701", "Bob")], "run_id string, acc_number string, rm_name string")
     assert [r.run_id for r in df.filter(explore.predicates(search="u'", rm_name="AN")).collect()] == ["U'1"]
     assert df.filter(explore.predicates()).count() == 2
+
+
+def test_header_fields_are_those_of_format_1(spark):
+    page = "Customer Name : Ines Q\nMobile Number : 555012\nOpening Balance : UGX 6,120.25"
+    for fmt, want in (("format_1", ("Ines Q", D("6120.25"))), ("format_2", (None, None))):
+        got = spark.range(1).select(F.lit(page).alias("page"), F.lit(fmt).alias("format"))
+        fields = P.header_fields(F.col("page"), F.col("format"))
+        assert tuple(got.select(fields["customer_name"], fields["opening_balance"]).first()) == want

@@ -215,3 +215,13 @@ def test_vote_examples(spark):
     ]
     got = {r.run_id: (r.uses_implicit_cashback, r.uses_implicit_ind02_commission) for r in detect.fee_votes(frame(spark, data)).collect()}
     assert got == {"cash": (False, False), "ind": (False, True)}
+
+
+def test_left_in_printed_order(spark):
+    rng = random.Random(9)
+    one, two = statement(rng, "A", "direction", 30, 0.0), statement(rng, "B", "two", 30, 0.0, 100)
+    for r in (*one[10:17], *two[10:17]):
+        r["txn_date"] = one[10]["txn_date"]
+    one[4]["txn_date"] = two[4]["txn_date"] = None
+    got = ledger.left_in_printed_order(frame(spark, one + two)).collect()
+    assert [(r.run_id, r.undated_rows, r.large_groups) for r in got] == [("A", 1, 1)]
