@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.llm import byte_bpe, dedup, mixing, quality_rules, simhash
+from ledgerproof.llm import byte_bpe, dedup, mixing, near_copies, quality_rules
 from ledgerproof.session import shared_dir
 
 
@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.drop_near(docs)
+    return near_copies.drop_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,16 +42,22 @@ BLOCK = 4_000_000
 BITS = 64
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 majority bits over the XXH64 of all shingles of a text's words, A-Z in lower case."""
-    words = text.encode().lower().split()
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
+    """XXH64 of every run of `shingle` words, or of all words if there are fewer."""
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - k].tolist()]
-    hashes = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
+    return [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 majority bits over the XXH64 of all shingles of a text's words, A-Z in lower case."""
+    hashes = shingle_hashes(text.encode().lower().split(), shingle, seed)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
@@ -185,12 +191,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of every component, that of its least doc_id, with all columns.
+    """One row of every component, that of its least doc_id, with all columns."""
+    return keep_least(docs, near_groups(docs, radius))
+
+
+def keep_least(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its component's in rows (doc_id, component_id).
 
     The doc_ids that go are broadcast while they are few enough, so texts are not shuffled; beyond that a join
     meets them.
     """
-    rows = near_groups(docs, radius)
     gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
     gone = materialise(gone, "near_copies")
     return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__near_id"), "left_anti")
