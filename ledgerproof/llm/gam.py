@@ -5,7 +5,7 @@ statistic after another, fits a shallow tree (two cuts) to the residuals of the
 and adds it, shrunk, to that statistic's lookup table; then the same for the pairs that explain most of what
 is left, on coarse grids. A score is a sum of table entries, added for a whole batch at once.
 
-The fit uses at most SAMPLE_GOOD + SAMPLE_BAD labelled rows, a few numbers each; the tables, a few tens of
+The fit uses at most SAMPLE_GOOD + SAMPLE_BAD labelled rows, a few numbers each, weighted to the mix of all that may be learned from; the tables, a few tens of
 kilobytes, are sent to the executors.
 
 Edge cases: a null or empty text has all statistics 0 and is scored by them; without good or without bad
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.labelled import held_out, sample, sigmoid
+from ledgerproof.llm.labelled import held_out, learnable, sample, sigmoid, weights
 from ledgerproof.llm.parts import text_slices
 from ledgerproof.llm.quality_rules import BLANKS, COUNTS, RULES, measure
 from ledgerproof.llm.ship import ship
@@ -108,8 +108,10 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Gam:
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-12, 1 - 1e-12)
+def fit(x: np.ndarray, y: np.ndarray, counts: dict[int, int] | None = None) -> Gam:
+    """counts: learnable rows by label, if the rows are a sample that holds the labels in other shares."""
+    w = weights(y, counts or {})
+    share = np.clip(np.average(y, weights=w) if len(y) else 0.5, 1e-12, 1 - 1e-12)
     model = Gam(float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return model
@@ -123,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     for _ in range(ROUNDS):
         for i, (b, s) in enumerate(zip(fine, sizes, strict=True)):
             p = sigmoid(total)
-            step = RATE * shallow_tree(np.bincount(b, p - y, s), np.bincount(b, p * (1 - p), s), np.bincount(b, minlength=s))
+            step = RATE * shallow_tree(np.bincount(b, w * (p - y), s), np.bincount(b, w * p * (1 - p), s), np.bincount(b, minlength=s))
             model.tables[i] += step
             total += step[b]
 
@@ -131,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
         width = len(model.coarse[j]) + 1
         cell, size = grid[i] * width + grid[j], (len(model.coarse[i]) + 1) * width
         p = sigmoid(total)
-        return cell, np.bincount(cell, p - y, size), np.bincount(cell, p * (1 - p), size), np.bincount(cell, minlength=size), width
+        return cell, np.bincount(cell, w * (p - y), size), np.bincount(cell, w * p * (1 - p), size), np.bincount(cell, minlength=size), width
 
     explained = {(i, j): gain(*sums(i, j)[1:3]).sum() for i, j in combinations(range(x.shape[1]), 2)}
     for i, j in sorted(explained, key=lambda p: (-explained[p], p))[:PAIRS]:
@@ -161,7 +163,7 @@ def trained(measured: DataFrame, labels: DataFrame) -> Gam:
     chosen = sample(labels, "quality", {1: SAMPLE_GOOD, 0: SAMPLE_BAD})
     # At most SAMPLE_GOOD + SAMPLE_BAD ids.
     rows = measured.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return fit(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["label"].to_numpy(float))
+    return fit(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["label"].to_numpy(float), learnable(measured, labels, "quality"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

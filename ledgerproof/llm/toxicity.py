@@ -7,7 +7,7 @@ how many bytes shorter it gets with the toxic dictionary. A document is describe
 reach each distance; weights over these counts are calibrated by logistic regression on the same rows.
 Distances of words are kept in a bounded cache, so most windows are compressed once per worker.
 
-The fit uses at most SAMPLE_TOXIC + SAMPLE_ORDINARY labelled rows; its result, a few tens of kilobytes, is
+The fit uses at most SAMPLE_TOXIC + SAMPLE_ORDINARY labelled rows, weighted to the mix of all that may be learned from; its result, a few tens of kilobytes, is
 sent to the executors. Scores cover every window of every text.
 
 Edge cases: a null or empty text has no window and gets the score of that (well below 0.5 unless almost all
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.labelled import held_out, logistic, sample, sigmoid
+from ledgerproof.llm.labelled import held_out, learnable, logistic, sample, sigmoid, weights
 from ledgerproof.llm.parts import MARKS, Kept, text_slices
 from ledgerproof.llm.ship import ship
 
@@ -89,8 +89,10 @@ class Distances:
         return [seen[d] for d in range(FARTHEST + 1)]
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
+def fit(texts: list[str], toxic: list[int], counts: dict[int, int] | None = None) -> Model:
+    """counts: learnable rows by label, if texts is a sample that holds the labels in other shares."""
     y = np.array(toxic, float)
+    weight = weights(y, counts or {})
     rows: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):
         rows[label].update(set(windows(text)))
@@ -109,7 +111,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     ordinary = f" {' '.join(reversed(common))} ".encode()
     model = Model(ordinary, ordinary + f" {' '.join(w for _, w in told)} ".encode(), [])
     distances = Distances(model.ordinary, model.toxic)
-    model.weights = logistic(features(np.array([distances.counts(t) for t in texts])), y).tolist()
+    model.weights = logistic(features(np.array([distances.counts(t) for t in texts])), y, weight=weight).tolist()
     return model
 
 
@@ -117,7 +119,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = sample(labels, "toxic", {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY})
     # At most SAMPLE_TOXIC + SAMPLE_ORDINARY ids.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "label").toPandas()
-    return fit([t or "" for t in rows["text"]], [int(x) for x in rows["label"]])
+    return fit([t or "" for t in rows["text"]], [int(x) for x in rows["label"]], learnable(docs, labels, "toxic"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
