@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.llm import byte_bpe, dedup, gam, mixing, quality_rules, simhash, token_counts, token_file, toxicity, url_rules
+from ledgerproof.llm import byte_bpe, conversations, dedup, gam, html_text, mixing, quality_rules, simhash, spelling, token_counts, token_file, toxicity, url_rules
 from ledgerproof.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op11_spelling")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired(table(spark, folder, "conversations"))
+
+
+@query("op13_html_text")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
