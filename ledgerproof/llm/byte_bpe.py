@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerproof.llm.parts import PartEncoder, text_slices
+from ledgerproof.llm.parts import PartEncoder, byte_slices, text_slices
 from ledgerproof.llm.ship import ship
 
 LONG_PIECE = 256
@@ -37,6 +37,7 @@ NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 
 ENCODED = "doc_id long, token_ids binary, decoded binary"
+CHECKED = "doc_id long, token_ids binary, decoded_equal boolean"
 
 
 class PairTable:
@@ -207,9 +208,8 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep_text: bool = False) -> DataFrame:
-    """doc_id, token_ids (little-endian uint32), decoded: the ids of each whole text, and the bytes decoded from them;
-    with keep_text also text (null: empty).
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, token_ids (little-endian uint32), decoded: the ids of each whole text, and the bytes decoded from them.
 
     `path` is a rank file that every executor has (a tokenizer's file, not data).
     """
@@ -219,9 +219,20 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_text: bool = Fa
         bpe = load(path, pattern)
         for batch, texts in text_slices(batches):
             ids = bpe.encode(texts)
-            columns = {"doc_id": batch.column("doc_id"), "token_ids": pa.array(ids, pa.binary()), "decoded": pa.array(map(bpe.decode, ids), pa.binary())}
-            if keep_text:
-                columns["text"] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "token_ids": pa.array(ids, pa.binary()), "decoded": pa.array(map(bpe.decode, ids), pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED + ", text string" * keep_text)
+    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, token_ids, decoded_equal (the ids, decoded again, give the text; null: empty). Texts don't leave Python again."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for batch, texts in byte_slices(batches):
+            ids = bpe.encode(texts)
+            equal = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "token_ids": pa.array(ids, pa.binary()), "decoded_equal": pa.array(equal, pa.bool_())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, CHECKED)

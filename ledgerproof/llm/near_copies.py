@@ -9,7 +9,9 @@ Texts with equal words (A-Z in lower case) are one node, named by the XXH64 of t
 rounds: first each band's nodes with one of them, so a crowd of copies costs a pair per node; once the pairs that
 are left are few, or such rounds find nothing, all that are left. A pair is tried once.
 
-Edge cases as in `simhash`: a null or wordless text has no shingle and meets no other by MinHash.
+Edge cases as in `simhash`: a null or wordless text has no shingle and meets no other by MinHash; equal words are linked whatever
+their doc_ids; a null doc_id is no component's id unless nothing else is in it, and its row goes before any other; rows that share a doc_id are
+judged one by one; other columns are not read by near_groups() and are kept by drop_near(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.llm.components import components
-from ledgerproof.llm.parts import text_slices
+from ledgerproof.llm.parts import byte_slices
 from ledgerproof.llm.ship import ship
-from ledgerproof.llm.simhash import SEED, fingerprint, keep_least, near_links, shingle_hashes
+from ledgerproof.llm.simhash import SEED, fingerprint, keep_least, near_links, node, shingle_hashes
 from ledgerproof.session import broadcast_if_small, materialise
 
 SHINGLE = 5
@@ -35,7 +37,7 @@ BANDS, ROWS = 60, 8
 # Rounds with one node per band, and the pairs per member of a band up to which all are tried at once.
 STAR_ROUNDS, PAIRS_PER_MEMBER = 1, 4
 # Shingles multiplied at once.
-CHUNK = 4096
+CHUNK = 512
 # Odd, so that multiplying permutes the 64-bit hashes.
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MEASURED = "doc_id long, fp long, node long, n long, bands array<long>"
@@ -45,10 +47,6 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(words, SHINGLE), np.uint64))
 
 
-def node_of(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-
-
 def bands(hashes: np.ndarray) -> list[int]:
     """A hash of the minima of each band, unsigned."""
     if not len(hashes):
@@ -64,37 +62,31 @@ def measured(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
-            fps, nodes, sizes, met = [], [], [], []
+        for batch, texts in byte_slices(batches):
+            fps, sizes, met = [], [], []
             for text in texts:
-                words = text.encode().lower().split()
-                hashes = shingles(words)
+                hashes = shingles(text.encode().lower().split())
                 fps.append(fingerprint(text))
-                nodes.append(node_of(words))
                 sizes.append(len(hashes))
                 met.append(np.array(bands(hashes), np.uint64).view(np.int64))
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            yield pa.record_batch([batch.column("doc_id"), *signed, pa.array(sizes, pa.int64()), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "bands"])
+            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), fps, batch.column("node"), pa.array(sizes, pa.int64()), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEASURED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), "text").mapInArrow(run, MEASURED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles (distinct hashes) of the nodes of wanted (node)."""
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
-            found = np.array([node_of(t.encode().lower().split()) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(found), pa.array(texts, pa.string())], ["node", "text"])
+    """node, shingles (distinct hashes) of the nodes of wanted (node). Only their texts leave the JVM, and in a stage of
+    their own: two Python passes in one stage would keep two workers a task."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in byte_slices(batches):
             found = [shingles(t.encode().lower().split()).view(np.int64) for t in texts]
             yield pa.record_batch([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    rows = docs.select("text").mapInArrow(nodes, "node long, text string")
-    rows = rows.join(broadcast_if_small(wanted, wanted.count()), "node", "left_semi").mapInArrow(sets, "node long, shingles array<long>")
-    return materialise(rows.dropDuplicates(["node"]), "near_sets")
+    rows = docs.select(node().alias("node"), "text")
+    rows = rows.join(broadcast_if_small(wanted, wanted.count()), "node", "left_semi").dropDuplicates(["node"])
+    return materialise(rows.mapInArrow(sets, "node long, shingles array<long>"), "near_sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,16 +140,21 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFr
             return links
 
 
+def near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row, and node, root of the nodes that are linked with another."""
+    rows = materialise(measured(docs), "near_measured")
+    nodes = materialise(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "bands"))), "near_nodes")
+    return rows.select("doc_id", "node"), components(similar_links(docs, nodes, simhash_links(nodes)))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id reachable) of every row."""
-    rows = materialise(measured(docs), "near_measured")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "bands"))), "near_nodes")
-    roots = components(similar_links(docs, nodes, simhash_links(nodes)))
-    placed = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows, roots = near_roots(docs)
+    placed = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near_placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(placed.select("node", "root"), "node").join(least, "root").select("doc_id", "component_id")
+    return placed.join(least, "root").select("doc_id", "component_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """One row of every component, that of its least doc_id, with all columns."""
-    return keep_least(docs, near_groups(docs))
+    return keep_least(docs, near_roots(docs)[1])

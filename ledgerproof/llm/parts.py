@@ -12,6 +12,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Entries of a cache of words before it is thinned out (about 200 bytes each).
 CACHE_ENTRIES = 500_000
@@ -77,6 +78,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             yield batch.slice(start), texts[start:]
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same by bytes; only the texts of one part at a time are turned into strings."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for i, size in enumerate([*sizes, most + 1]):
+            if i > start and total + size > most:
+                part = batch.slice(start, i - start)
+                yield part, [x or "" for x in part.column(column).to_pylist()]
+                start, total = i, 0
+            total += size
+
+
 class WordEncoder:
     """Ids of whole texts, put together from the ids of their parts, each found when it is first met.
 

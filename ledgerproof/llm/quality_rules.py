@@ -15,7 +15,7 @@ So with probability 1 - CONFIDENCE no stratum's rules reject more than RISK of i
 come from all labelled rows; what reaches the driver is a table of strata x rules x bins.
 
 Edge cases: a null text has no words and fails the base rules; a null doc_id has no label; repeated labels
-count once per row; other columns are not read by judged() and are kept by keep_good(); an empty table, or
+count once, and so do repeated doc_ids in a stratum; other columns are not read by judged() and are kept by keep_good(); an empty table, or
 no labels, gives base rules only.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.parts import text_slices
+from ledgerproof.llm.parts import byte_slices, text_slices
 from ledgerproof.llm.ship import ship
 from ledgerproof.session import materialise
 
@@ -130,12 +130,19 @@ def bin_of(rule: str) -> F.Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n) with probability p each."""
-    if k >= n:
+    """P(at most k of n) with probability p each; 1.0 for a k above the mean, where it is about a half or more.
+
+    Terms are added from the largest on, until they no longer count."""
+    if k >= n or k > p * n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    total = 0.0
+    for i in range(k, -1, -1):
+        total += term
+        term *= i / (n - i + 1) * (1 - p) / p
+        if term < 1e-18 * total:
+            break
+    return min(1.0, total)
 
 
 def exceeds(cutoffs: dict[int, dict[str, int]]) -> F.Column:
@@ -149,8 +156,12 @@ def exceeds(cutoffs: dict[int, dict[str, int]]) -> F.Column:
 
 def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[int, dict[str, int]]:
     """Per stratum the certified cutoffs, as bins; a stratum without a certified level is missing."""
-    labelled = measured.filter(~base_failed()).join(labels.select("doc_id", "quality"), "doc_id").filter("quality = 1")
-    labelled = labelled.withColumns({"stratum": stratum(), "proposes": F.pmod(F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string"))), F.lit(2)) == 0})
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    labelled = measured.filter(~base_failed()).join(good, "doc_id").withColumn("stratum", stratum())
+    # A doc_id is one document of a stratum, however often it stands there.
+    bins = F.struct(*[bin_of(r) for r in RULES])
+    labelled = labelled.groupBy("doc_id", "stratum").agg(*[F.min_by(c, bins).alias(c) for c in ("n_words", *RULES)])
+    labelled = labelled.withColumns({"proposes": F.pmod(F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string"))), F.lit(2)) == 0})
     labelled = materialise(labelled, "labelled")
     # stack: one row per rule
     rules = ", ".join(f"'{r}', cast(least(floor({r} / {RULES[r]} * {BINS}), {BINS - 1}) as int)" for r in RULES)
@@ -192,11 +203,13 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     certified = cutoffs(materialise(measures(docs), "measures"), labels)
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
-            yield batch.filter(pa.array([passes(measure(t), certified) for t in texts], pa.bool_()))
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch([texts], ["text"])
+        return pa.array([passes(measure(t), certified) for _, own in byte_slices([batch]) for t in own], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the verdicts come back from Python; the rows wait in the JVM.
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return docs.filter(F.arrow_udf(run, "boolean")("text"))
 
 
 def passes(measured: tuple, certified: dict[int, dict[str, int]]) -> bool:

@@ -12,9 +12,8 @@ Copies share a fingerprint and are one row before anything is emitted. Within a
 verified links is kept; components over all links come from `components`.
 
 Edge cases: a null or wordless text has fingerprint zero, linked like any other; a text with fewer words than
-a shingle is one shingle; a null doc_id can't be a component's id unless nothing else is in it, and drop_near()
-keeps its row, as no doc_id says which one to drop; rows that repeat a doc_id have one result each and stay or
-go together; other columns are not read by near_groups() and are kept by drop_near(); an empty table gives an
+a shingle is one shingle; a null doc_id can't be a component's id unless nothing else is in it; rows that repeat
+a doc_id have one result each, and drop_near() judges them one by one; other columns are not read by near_groups() and are kept by drop_near(); an empty table gives an
 empty result.
 """
 
@@ -190,17 +189,42 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(grouped(rows, radius), "fp").select("doc_id", "fp", "component_id")
 
 
+# What the JVM side takes for white space and letters, as bytes.split() and bytes.lower() do.
+BLANKS = r"[\x20\x09-\x0D]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def node() -> F.Column:
+    """The XXH64 (seed 42) of a text's words, A-Z in lower case, space-joined: what a fingerprint is a function of."""
+    words = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), BLANKS, " ")
+    return F.xxhash64(F.trim(words))
+
+
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of every component, that of its least doc_id, with all columns."""
-    return keep_least(docs, near_groups(docs, radius))
+    """One row of every component, with all columns."""
+    rows = near_groups(docs.select(node().alias("doc_id"), "text"), radius)
+    return keep_least(docs, rows.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct())
 
 
-def keep_least(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's in rows (doc_id, component_id).
+def keep_least(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of docs of every component of roots (node, root; a node that isn't there is alone), that of the least doc_id
+    (null last), then of the least node. Of rows that agree in both the one with the least text stays.
 
-    The doc_ids that go are broadcast while they are few enough, so texts are not shuffled; beyond that a join
-    meets them.
+    A row is known by its doc_id and its words together, so rows that share a doc_id and not their words are
+    judged apart. Verdicts are broadcast while they are few enough, so texts are not shuffled; beyond that a join meets them.
     """
-    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
-    gone = materialise(gone, "near_copies")
-    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__near_id"), "left_anti")
+    pairs = docs.select("doc_id", node().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    placed = materialise(pairs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near_placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("first"))
+    judged = placed.join(first, "root").withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("node") != F.col("first.node")))
+    judged = judged.filter("gone or n > 1").select(F.col("doc_id").alias("__near_id"), F.col("node").alias("__near_node"), F.col("gone").alias("__near_gone"))
+    judged = materialise(judged, "near_copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__near_own", node())
+    match = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_own") == F.col("__near_node"))
+    rows = rows.join(broadcast_if_small(judged, judged.count()), match, "left")
+    single = rows.filter("__near_gone is null").select(*columns)
+    if judged.filter("not __near_gone").isEmpty():
+        return single
+    row = F.min_by(F.struct(*columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*columns))).alias("row")
+    return single.unionByName(rows.filter("not __near_gone").groupBy("__near_id", "__near_node").agg(row).select("row.*"))

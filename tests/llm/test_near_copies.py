@@ -41,3 +41,16 @@ def test_reaches_four_fifths(spark, monkeypatch, few):
     stay = corpus_pipeline.near(spark, docs, "")
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == set(root)
     assert near_copies.drop_near(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """A text is never lost because another row with its doc_id goes."""
+    rnd = random.Random(4)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (5, b.upper(), "t"), (None, c, "s"), (None, b, "s"), (9, c + " more", "s"), (None, None, "s"), (1, "", "s"), (7, a, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    want = sorted([(3, a), (5, b.upper()), (9, c + " more"), (1, "")])
+    for drop in (near_copies.drop_near, simhash.drop_near):
+        stay = drop(docs)
+        assert stay.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in stay.collect()) == want

@@ -383,16 +383,82 @@ def test_mix_comes_near_many_targets(spark):
 # -- the pipeline
 
 
+def plain_stage(i, rows, labels):
+    """The multiset that stage i keeps of rows."""
+    if i == 0:
+        certified = plain_cutoffs(rows, labels)
+        return Counter(r for r in rows if plain_verdict(r[1], certified))
+    if i == 1:
+        groups = defaultdict(list)
+        for r in rows:
+            groups["".join((r[1] or "").translate(str.maketrans("", "", " \t\n\x0b\x0c\r")))].append(r)
+        return Counter(min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values())
+    if i == 2:
+        words = [(r[1] or "").encode().lower().split() for r in rows]
+        sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+        fps, root = [simhash.fingerprint(r[1] or "") for r in rows], list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 4 or words[a] == words[b]:
+                    root = [root[b] if x == root[a] else x for x in root]
+        groups = defaultdict(list)
+        for r, x in zip(rows, root, strict=True):
+            groups[x].append(r)
+        return Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values())
+    return MIXED
+
+
+class Mixed:
+    """What a mix may be: any multiset of rows, each at most twice (the words it takes are tested with the operator)."""
+
+    def __eq__(self, other):
+        return all(n <= 2 for n in other.values())
+
+
+MIXED = Mixed()
+
+
+def plain_cutoffs(rows, labels):
+    """Certified cutoffs in bins, by the plain measures and exact sums of binomial terms."""
+    good = {r.doc_id for r in labels if r.quality == 1 and r.doc_id is not None}
+    halves, out = {}, {}
+    for r in rows:
+        m = quality_rules.measure(r[1] or "")
+        if r[0] in good and m[0] >= 20 and 100 * m[4] <= 30 * m[0]:
+            stratum = sum(m[0] >= s for s in quality_rules.STRATA[1:])
+            bins = {name: min(int(v / top * quality_rules.BINS), quality_rules.BINS - 1) for (name, top), v in zip(quality_rules.RULES.items(), m[5:], strict=True)}
+            proposes = zlib.crc32(f"half {r[0]}".encode()) % 2 == 0
+            halves.setdefault((stratum, proposes), {})[r[0]] = min(halves.get((stratum, proposes), {}).get(r[0], (tuple(bins.values()), bins)), (tuple(bins.values()), bins))
+    for stratum in range(len(quality_rules.STRATA)):
+        proposing, testing = ([b for _, b in halves.get((stratum, p), {}).values()] for p in (True, False))
+        for level in quality_rules.LEVELS if testing else ():
+            cut = {name: next(b for b in range(quality_rules.BINS) if sum(x[name] > b for x in proposing) <= level * len(proposing)) for name in quality_rules.RULES}
+            k, n = sum(any(x[r] > cut[r] for r in cut) for x in testing), len(testing)
+            if sum(math.comb(n, j) * quality_rules.RISK**j * (1 - quality_rules.RISK) ** (n - j) for j in range(k + 1)) > quality_rules.CONFIDENCE / len(quality_rules.STRATA):
+                break
+            out[stratum] = cut
+    return out
+
+
+def plain_verdict(text, certified):
+    m = quality_rules.measure(text or "")
+    if m[0] < 20 or 100 * m[4] > 30 * m[0]:
+        return False
+    cut = certified.get(sum(m[0] >= s for s in quality_rules.STRATA[1:]), {})
+    return all(min(int(v / top * quality_rules.BINS), quality_rules.BINS - 1) <= cut.get(name, quality_rules.BINS) for (name, top), v in zip(quality_rules.RULES.items(), m[5:], strict=True))
+
+
 def test_pipeline(spark, docs, rows, labels, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_dedup", "mixing", "byte_bpe"]
-    stage, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    stage, kept, inputs = spark.read.parquet(str(tmp_path / "documents.parquet")), [], []
     for _, f in corpus_pipeline.STAGES[:4]:
-        before = found(stage, *docs.columns)
+        inputs.append([tuple(r) for r in stage.collect()])
         stage = spark.createDataFrame(f(spark, stage, str(tmp_path)).collect(), SCHEMA)
         kept.append(found(stage, *docs.columns))
-        assert set(kept[-1]) <= set(before) and stage.columns == docs.columns
+        assert set(kept[-1]) <= set(inputs[-1]) and stage.columns == docs.columns
+    assert kept[:4] == [plain_stage(i, x, labels.collect()) for i, x in enumerate(inputs)]
     texts = ["".join((r[1] or "").split()) for r in kept[1]]
     assert len(texts) == len(set(texts)) and max(kept[2].values()) == 1 and max(kept[3].values()) <= 2
     lib = rank_encoding()
@@ -402,3 +468,10 @@ def test_pipeline(spark, docs, rows, labels, tmp_path):
     known = {(i, np.array(lib.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in text_of}
     assert all((r.doc_id, bytes(r.token_ids)) in known for r in last)
     assert len(last) == sum(kept[3].values())
+
+
+def test_pipeline_on_an_empty_table(spark, empty, labels, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "token_ids", "decoded_equal"]
