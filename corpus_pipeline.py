@@ -2,6 +2,10 @@
 
 Each stage works on what the one before it kept, takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases: a null text counts as empty and goes with the rows of too few words; a null doc_id ranks after any other; rows that
+share a doc_id are judged one by one, by their texts; ties keep the least doc_id (exact copies: of those with the
+most code points); further columns are carried along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (little-endian uint32), decoded_equal (the ids give the text back) of every row."""
-    rows = byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=True)
-    n_tokens = (F.octet_length("token_ids") / 4).cast("long")
-    return rows.select("doc_id", n_tokens.alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text").cast("binary")).alias("decoded_equal"))
+    rows = byte_bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", "decoded_equal")
 
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixed), ("byte_bpe", encoded)]
