@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerproof.llm.parts import PartEncoder, byte_slices, text_slices
+from ledgerproof.llm.parts import PartEncoder, byte_slices, text_slices, then_give_back
 from ledgerproof.llm.ship import ship
 
 LONG_PIECE = 256
@@ -95,6 +95,10 @@ class ByteBpe:
             self.lengths[r] = len(t)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the caches of parts."""
         self.parts = PartEncoder(self.encode_matches, self.encode_strings, KEPT)
 
     # -- encoding
@@ -235,4 +239,4 @@ def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             equal = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "token_ids": pa.array(ids, pa.binary()), "decoded_equal": pa.array(equal, pa.bool_())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHECKED)
+    return docs.select("doc_id", "text").mapInArrow(then_give_back(run, lambda: load(path, pattern).forget()), CHECKED)

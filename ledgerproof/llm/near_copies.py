@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.llm.components import components
-from ledgerproof.llm.parts import byte_slices
+from ledgerproof.llm.parts import byte_slices, then_give_back
 from ledgerproof.llm.ship import ship
 from ledgerproof.llm.simhash import SEED, fingerprint, keep_least, near_links, node, shingle_hashes
 from ledgerproof.session import broadcast_if_small, materialise
@@ -72,7 +72,7 @@ def measured(docs: DataFrame) -> DataFrame:
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
             yield pa.record_batch([batch.column("doc_id"), fps, batch.column("node"), pa.array(sizes, pa.int64()), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), "text").mapInArrow(run, MEASURED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), "text").mapInArrow(then_give_back(run), MEASURED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(node().alias("node"), "text")
     rows = rows.join(broadcast_if_small(wanted, wanted.count()), "node", "left_semi").dropDuplicates(["node"])
-    return materialise(rows.mapInArrow(sets, "node long, shingles array<long>"), "near_sets")
+    return materialise(rows.mapInArrow(then_give_back(sets), "node long, shingles array<long>"), "near_sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ doesn't grow with the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -91,6 +92,26 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             total += size
 
 
+def give_back() -> None:
+    """Hand memory that is free to the system: a Python worker stays for later stages, and what it keeps they lack."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def then_give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+    """run, and after its last batch forget() and give_back()."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if forget:
+            forget()
+        give_back()
+
+    return whole
+
+
 class WordEncoder:
     """Ids of whole texts, put together from the ids of their parts, each found when it is first met.
 

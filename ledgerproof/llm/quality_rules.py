@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.parts import byte_slices, text_slices
+from ledgerproof.llm.parts import byte_slices, give_back, then_give_back
 from ledgerproof.llm.ship import ship
 from ledgerproof.session import materialise
 
@@ -106,12 +106,12 @@ def measures(docs: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in MEASURED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in byte_slices(batches):
             columns = list(zip(*map(measure, texts), strict=True))
             arrays = [pa.array(c, pa.int64() if i < len(COUNTS) else pa.float64()) for i, c in enumerate(columns)]
             yield pa.record_batch([batch.column("doc_id"), *arrays], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEASURED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(then_give_back(run), MEASURED)
 
 
 def base_failed() -> F.Column:
@@ -205,7 +205,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts], ["text"])
-        return pa.array([passes(measure(t), certified) for _, own in byte_slices([batch]) for t in own], pa.bool_())
+        out = pa.array([passes(measure(t), certified) for _, own in byte_slices([batch]) for t in own], pa.bool_())
+        give_back()
+        return out
 
     # Only the verdicts come back from Python; the rows wait in the JVM.
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

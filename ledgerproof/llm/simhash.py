@@ -213,11 +213,12 @@ def keep_least(docs: DataFrame, roots: DataFrame) -> DataFrame:
     A row is known by its doc_id and its words together, so rows that share a doc_id and not their words are
     judged apart. Verdicts are broadcast while they are few enough, so texts are not shuffled; beyond that a join meets them.
     """
-    pairs = docs.select("doc_id", node().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("n"))
-    placed = materialise(pairs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near_placed")
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("first"))
-    judged = placed.join(first, "root").withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("node") != F.col("first.node")))
-    judged = judged.filter("gone or n > 1").select(F.col("doc_id").alias("__near_id"), F.col("node").alias("__near_node"), F.col("gone").alias("__near_gone"))
+    pairs = docs.select("doc_id", node().alias("words")).groupBy("doc_id", "words").agg(F.count("*").alias("n"))
+    own = roots.select(F.col("node").alias("words"), "root")
+    placed = materialise(pairs.join(own, "words", "left").withColumn("root", F.coalesce("root", "words")), "near_placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "words")).alias("first"))
+    judged = placed.join(first, "root").withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("words") != F.col("first.words")))
+    judged = judged.filter("gone or n > 1").select(F.col("doc_id").alias("__near_id"), F.col("words").alias("__near_node"), F.col("gone").alias("__near_gone"))
     judged = materialise(judged, "near_copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumn("__near_own", node())
