@@ -6,8 +6,8 @@ each; two texts with a similarity of 0.8 share a band with probability 1 - 2e-5,
 that shares a band is verified by the exact Jaccard similarity of its shingles, unless other links join it already.
 
 Texts with equal words (A-Z in lower case) are one node, named by the XXH64 of these words. Pairs are tried in
-rounds: first each band's nodes with one of them, so a crowd of copies costs a pair per node; once the pairs that
-are left are few, or such rounds find nothing, all that are left. A pair is tried once.
+rounds: first each band's nodes with the one that meets most others, so a crowd of copies costs a pair per node; then those that
+are left, as far as the shingles that only one of them has leave room for the similarity (an exact bound). A pair is tried once.
 
 Edge cases as in `simhash`: a null or wordless text has no shingle and meets no other by MinHash; equal words are linked whatever
 their doc_ids; a null doc_id is no component's id unless nothing else is in it, and its row goes before any other; rows that share a doc_id are
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerproof.llm.components import components
@@ -106,11 +106,21 @@ def simhash_links(nodes: DataFrame) -> DataFrame:
     return materialise(same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "near_links")
 
 
+def own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, own: how many shingles of a node no other of nodes (node) has; nodes without any are missing."""
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    single = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("of")).filter(F.col("of") == 1)
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """links, and those verified among nodes (node, n, bands), as far as they connect what isn't connected yet."""
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    crowded = materialise(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band"), "bands")
-    members = materialise(members.join(broadcast_if_small(crowded, crowded.count()), "band"), "members")
+    crowded = materialise(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
+    members = members.join(broadcast_if_small(crowded, crowded.count()), "band")
+    # The node that meets most others is nearest to them, so it is tried first. (A node has a row per band at most.)
+    weight = F.sum("m").over(Window.partitionBy("node"))
+    members = materialise(members.withColumn("weight", weight).drop("m"), "members")
     sets = sets_of(docs, materialise(members.select("node").distinct(), "met"))
     tried, found = None, 1
     for turn in range(STAR_ROUNDS + 1):
@@ -118,17 +128,27 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFr
         placed = members.withColumn("root", F.col("node"))
         if turn:
             placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-        sizes = sizes.groupBy("band").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("roots"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+        rank = F.struct(-F.col("weight"), F.xxhash64("node"))
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.min(F.struct(rank.alias("rank"), "node")).alias("first"))
+        sizes = sizes.groupBy("band").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("roots"), F.min("first")["node"].alias("hub"))
         split = materialise(sizes.filter("roots > 1"), "split_bands")
         n, cross = split.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()
         if not n:
             return links
         every = turn == STAR_ROUNDS or not found or cross <= PAIRS_PER_MEMBER * n
-        here = materialise(placed.join(broadcast_if_small(split.select("band", "hub"), split.count()), "band"), "placed")
+        here = placed.join(broadcast_if_small(split.select("band", "hub"), split.count()), "band").select("band", "hub", "node", "n", "root", F.lit(0).cast("long").alias("own"))
+        if every:
+            here = materialise(here.drop("own"), "placed")
+            here = here.join(own_shingles(sets, here.select("node").distinct()), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            here = here.filter(10 * (F.col("n") - F.col("own")) >= TENTHS * F.col("n"))
+        here = materialise(here, "placed")
         one = here if every else here.filter("node = hub")
-        one = one.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        pairs = here.join(one, "band").filter((F.col("root") != F.col("rx")) & (10 * F.least("n", "nx") >= TENTHS * F.greatest("n", "nx")))
+        one = one.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("own").alias("ox"))
+        # What two nodes share is at most what either has in common with any other; what they have together, at least
+        # one's shingles and those of the other that nobody else has.
+        shared = F.least(F.col("n") - F.col("own"), F.col("nx") - F.col("ox"))
+        together = F.greatest(F.col("n") + F.col("ox"), F.col("nx") + F.col("own"))
+        pairs = here.join(one, "band").filter((F.col("root") != F.col("rx")) & (10 * shared >= TENTHS * together))
         pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
