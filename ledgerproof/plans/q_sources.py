@@ -345,6 +345,21 @@ def _(t):
     return S.parse_wallet(wallet_lines(t)).drop("line_no")
 
 
+@query(
+    "s1_wallet_files",
+    """SELECT path AS run_id, format, txn_id, txn_date, replace(description, ', said', ',' || chr(10) || 'said') AS description, status, amount::DOUBLE AS amount, fee::DOUBLE AS fee, balance::DOUBLE AS balance
+       FROM csv_expected WHERE txn_id <> '' AND amount IS NOT NULL""",
+)
+def _(t):
+    """Statements as real files, with a line feed inside each quoted description, written and read back."""
+    folder = f"{shared_dir(t.spark)}/wallet-{uuid.uuid4().hex}"
+    lines = wallet_lines(t).withColumn("line", F.replace("line", F.lit(", said"), F.lit(",\nsaid")))
+    lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", F.col("line").alias("value")).write.partitionBy("path").text(folder)
+    txn, _ = S.read_wallet_csv(t.spark, folder)
+    run_id = F.regexp_extract("path", "path=([^/]+)/", 1).alias("run_id")
+    return txn.select(run_id, "format", "txn_id", "txn_date", "description", "status", "amount", "fee", "balance")
+
+
 @query("s1_wallet_rejects", "SELECT path, count(*) FILTER (WHERE amount IS NULL) AS bad_amounts, count(*) FILTER (WHERE txn_date IS NULL) AS bad_dates FROM csv_expected WHERE txn_id <> '' GROUP BY path")
 def _(t):
     return S.wallet_rejects(wallet_lines(t))

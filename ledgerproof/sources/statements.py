@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import parse as P
+from ledgerproof.sources.records import whole_records
 
 # Column titles (source spelling) and preamble keys.
 HEADER_MARKS = ("Transaction ID", "Transaction Date")
@@ -183,7 +184,8 @@ def preamble(lines: DataFrame) -> DataFrame:
 
 
 def read_wallet_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    lines = read_lines(spark, path)
+    """Rows and preambles of the files under a path; quoted cells may span lines."""
+    lines = whole_records(read_lines(spark, path))
     return parse_wallet(lines), preamble(lines)
 
 
