@@ -25,7 +25,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerproof.functions import amounts as A
 from ledgerproof.operators.sequence import BLOCK, Ordered, Sort
@@ -61,7 +60,7 @@ def _whole(col: Column) -> Column:
 
 
 def mark_open(rows: Ordered) -> Ordered:
-    """`_open`: the row is in a group to be ordered; `_head`: no open group precedes it.
+    """`_open`: the row is in a group to be ordered; `_head`: no open group precedes it; `_starts`: another timestamp precedes it.
 
     For hot runs a small group cut by a block border is moved whole into the earlier block.
     Expects `_tie_delta`; everything here shares the one sort of the printed order.
@@ -92,7 +91,7 @@ def mark_open(rows: Ordered) -> Ordered:
     starts = ~F.col("txn_date").eqNullSafe(F.col("_prev")["ts"])
     head = F.col("_open") & starts & ~F.coalesce(F.col("_prev_open"), F.lit(False))
     return opened.over(
-        opened.df.withColumn("_head", head)
+        opened.df.withColumn("_head", head).withColumn("_starts", starts)
         .withColumn("_head_balance", F.when(F.col("_head"), F.col("_prev")["balance"]))
         .drop("_prev", "_prev_open", "_tied", "_first_ts", "_whole", "_home")
     )
@@ -125,35 +124,29 @@ class _Chain:
         self.states = np.zeros(1, np.int64)
 
 
+def _flags(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
 def _table_columns(table: pa.Table) -> dict[str, np.ndarray]:
     out = {}
     for name in ("_tie_balance", "_tie_delta", "_head_balance"):
         col = table[name].combine_chunks()
         out[name] = col.fill_null(0).to_numpy(zero_copy_only=False)
         out[name + "?"] = col.is_valid().to_numpy(zero_copy_only=False)
-    out["_head"] = table["_head"].combine_chunks().to_numpy(zero_copy_only=False)
+    for name in ("_head", "_starts"):
+        out[name] = _flags(table, name)
     return out
 
 
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """True where a new (key, timestamp) group starts."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for name in keys:
-        col = table[name].combine_chunks()
-        differs = pa.compute.not_equal(col.slice(1), col.slice(0, len(col) - 1))
-        new[1:] |= differs.fill_null(False).to_numpy(zero_copy_only=False)
-    return new
-
-
-def _walk(table: pa.Table, keys: list[str], chain: _Chain, lanes: bool):
+def _walk(table: pa.Table, chain: _Chain, lanes: bool):
     """Yield (first row, size, chosen orders, states) per group.
 
     `lanes` follows every possible entry of a block at once (states has one slot per entry
     row of the block before); otherwise there is a single state.
     """
     cols = _table_columns(table)
-    start = np.flatnonzero(_starts(table, keys))
+    start = np.flatnonzero(cols["_starts"])
     size = np.diff(np.append(start, table.num_rows))
     groups = len(start)
     slot = np.minimum(np.arange(MAX_TIED)[None, :], size[:, None] - 1)
@@ -182,17 +175,17 @@ def _walk(table: pa.Table, keys: list[str], chain: _Chain, lanes: bool):
     chain.balance, chain.known = bal[-1], known[-1]
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.Array]) -> Iterator[pa.Table]:
     """Re-cut batches so that no open group is split. At most six rows are held back."""
     rest: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch)])
         if rest is not None:
             table = pa.concat_tables([rest, table])
         cut = table.num_rows
         if cut and table["_open"][-1].as_py():
             tail = table.slice(max(0, cut - MAX_TIED - 1))
-            cut -= tail.num_rows - int(np.flatnonzero(_starts(tail, keys))[-1])
+            cut -= tail.num_rows - int(np.flatnonzero(_flags(tail, "_starts"))[-1])
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
@@ -200,27 +193,27 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield rest
 
 
-def _order_rows(keys: list[str], entries: bool):
-    """Arrow function: append `_tie`, the place of each row in its group (0 elsewhere)."""
-    narrow = [*keys, *WORK, *(["_entry"] if entries else [])]
+def _place(entries: bool):
+    """Place of each row in its group (0 elsewhere), from the columns of GROUP (and `_entry`), rows in printed order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chain = _Chain()
-        for table in _whole_groups(batches, keys):
-            at = np.flatnonzero(table["_open"].combine_chunks().to_numpy(zero_copy_only=False))
+        for table in _whole_groups(batches):
+            at = np.flatnonzero(_flags(table, "_open"))
             tie = np.zeros(table.num_rows, np.int32)
-            opened = table.select(narrow).take(at)
+            opened = table.take(at)
             for offset, piece in _parts(opened) if entries else [(0, opened)]:
                 if not piece.num_rows:
                     continue
                 if entries:
                     _enter(chain, piece)
-                for start, n, orders in _walk(piece, keys, chain, lanes=False):
+                for start, n, orders in _walk(piece, chain, lanes=False):
                     tie[at[offset + start + orders[0]]] = np.arange(n)
-            out = table.drop_columns([c for c in (*WORK, "_open", "_entry") if c in table.column_names])
-            yield from out.append_column("_tie", pa.array(tie)).to_batches()
+            yield pa.array(tie)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # It depends on the order of rows, so nothing may be moved across it.
+    return F.arrow_udf(run, "int").asNondeterministic()
 
 
 def _parts(table: pa.Table) -> list[tuple[int, pa.Table]]:
@@ -240,22 +233,24 @@ def _enter(chain: _Chain, piece: pa.Table) -> None:
         chain.states = np.zeros(1, np.int64)
 
 
-def _placed(df: DataFrame, keys: list[str], entries: bool) -> DataFrame:
-    """All rows in one narrow pass over partitions the windows have sorted already."""
-    kept = [f for f in df.schema.fields if f.name not in (*WORK, "_open", "_entry")]
-    schema = T.StructType([*kept, T.StructField("_tie", T.IntegerType())])
-    return df.mapInArrow(_order_rows(keys, entries), schema)
+def _placed(df: DataFrame, entries: bool) -> DataFrame:
+    """All rows with `_tie`, in a pass over partitions the windows have sorted already. Flags and, of open rows, three numbers
+    go to Python; the rows wait in the JVM and keep their partitioning, so the replay needs no other shuffle."""
+    c = F.col
+    numbers = [F.when(c("_open"), c(n)).alias(n) for n in ("_tie_balance", "_tie_delta", "_head_balance")]
+    group = F.struct("_open", "_starts", "_head", *numbers, *(["_entry"] if entries else []))
+    return df.withColumn("_tie", _place(entries)(group)).drop(*WORK, "_open", "_starts", "_entry")
 
 
 def order_plain(rows: Ordered) -> DataFrame:
     laid = rows.df.sortWithinPartitions(*rows.part, *[k.order() for k in rows.order])
-    return _placed(laid, [*rows.part, "txn_date"], entries=False)
+    return _placed(laid, entries=False)
 
 
 # -- hot runs: compose the blocks' tables first -------------------------------------------
 
 
-def _block_table(keys: list[str], names: list[str]):
+def _block_table(names: list[str]):
     """Per block: entry row (of the block before) -> row the block's last group ends on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -269,15 +264,14 @@ def _block_table(keys: list[str], names: list[str]):
         chain.states = np.arange(lanes)
         table = pa.table(
             {
-                **{k: pa.array(pdf[k]) for k in keys},
                 "_tie_balance": pa.array(pdf["_tie_balance"].astype("Int64")),
                 "_tie_delta": pa.array(pdf["_tie_delta"].astype("Int64")),
                 "_head_balance": pa.array(pdf["_head_balance"].astype("Int64")),
-                "_head": pa.array(pdf["_head"].astype(bool)),
+                **{f: pa.array(pdf[f].astype(bool)) for f in ("_head", "_starts")},
             }
         )
         last = None
-        for _, _, orders in _walk(table, keys, chain, lanes=True):
+        for _, _, orders in _walk(table, chain, lanes=True):
             last = orders[:, -1]
         return pd.DataFrame([{**{n: pdf[n].iloc[0] for n in names}, "exit_rows": last.tolist()}])
 
@@ -316,11 +310,11 @@ def _entry_states(rows: Ordered) -> DataFrame:
     border = edge.select(*rows.part).join(last, rows.part, "left").withColumn("_candidates", F.lag("_last").over(before))
     border = border.join(starts, rows.part, "left").select(*rows.part, "_candidates", F.coalesce("continued", F.lit(False)).alias("continued"))
     border = broadcast_if_small(border, 2 * rows.blocks)
-    slim = opened.select(*rows.part, "txn_date", "_at", "_tie_balance", "_tie_delta", "_head", "_head_balance").join(border, rows.part)
+    slim = opened.select(*rows.part, "_at", "_tie_balance", "_tie_delta", "_starts", "_head", "_head_balance").join(border, rows.part)
     names = [*rows.part, "continued"]
     kinds = ", ".join(f"{n} {rows.df.schema[n].dataType.simpleString()}" for n in rows.part)
     table = slim.groupBy(*names).applyInPandas(
-        _block_table([*rows.part, "txn_date"], names), f"{kinds}, continued boolean, exit_rows array<bigint>"
+        _block_table(names), f"{kinds}, continued boolean, exit_rows array<bigint>"
     )
     # A block without open rows breaks the chain, so its successor is not `continued`.
     states = table.groupBy(*rows.keys).applyInPandas(_compose(rows.part), f"{kinds}, _state int")
@@ -337,7 +331,7 @@ def order_blocked(rows: Ordered) -> DataFrame:
     first = F.row_number().over(rows.window) == 1
     laid = laid.withColumn("_entry", F.when(first, F.col("_entry")))
     laid = laid.repartition(*rows.part).sortWithinPartitions(*rows.part, *[k.order() for k in rows.order])
-    return _placed(laid, [*rows.part, "txn_date"], entries=True)
+    return _placed(laid, entries=True)
 
 
 def resolve_ties(rows: Ordered) -> Ordered:
