@@ -63,7 +63,8 @@ def json_records(df: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "run_id", order: str | None = None) -> DataFrame:
-    """New rows replace old ones of the same key. With `order`, of several new rows of a key the one with the highest stays."""
-    if order:
-        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("row")).select("row.*")
+    """New rows replace old ones of the same key. Of several new rows of a key one stays: with `order` the one with the highest,
+    else one that depends on the rows' values alone."""
+    last = F.col(order) if order else F.xxhash64(*new.columns)
+    new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), last).alias("row")).select("row.*")
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

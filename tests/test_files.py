@@ -148,3 +148,11 @@ def test_landed_lines_can_be_parsed(spark, tmp_path):
     lines = landing.landed(spark, table)
     assert sorted(r.txn_id for r in S.parse_wallet(lines).collect()) == ["1001", "1002", "1003"]
     assert [r.num_rows for r in S.wallet_outcomes(lines).collect()] == [3]
+
+
+def test_upsert_leaves_one_row_of_a_key(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, n int")
+    new = spark.createDataFrame([("b", 5), ("b", 6), ("c", 7), ("c", 7)], "run_id string, n int")
+    first, again = (sorted(tuple(r) for r in sinks.upsert(old, x).collect()) for x in (new, new.orderBy("n")))
+    assert [r[0] for r in first] == ["a", "b", "c"] and first == again and first[1][1] in (5, 6)
+    assert ("b", 6) in {tuple(r) for r in sinks.upsert(old, new, order="n").collect()}
