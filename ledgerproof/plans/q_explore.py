@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerproof.operators import explore, ledger, lineage, reports
-from ledgerproof.operators.sequence import ARRIVAL, scan
+from ledgerproof.operators import explore, ledger, lineage, paging, reports
+from ledgerproof.operators.sequence import ARRIVAL, Sort, scan
 from ledgerproof.plans.oracles import BLOCKS
 from ledgerproof.plans.q_reports import mapper
 from ledgerproof.plans.registry import query
@@ -111,6 +111,29 @@ def _(t):
     return explore.page_count(t.unified, explore.predicates(acc_prvdr_code="UATL"), 25)
 
 
+NEWEST = (Sort("txn_date", desc=True), Sort("run_id"), Sort("seq"))
+
+
+@query(
+    "w8_deep_page",
+    """SELECT run_id, seq, txn_date, rank FROM (SELECT run_id, seq, txn_date, row_number() OVER (ORDER BY txn_date DESC NULLS LAST, run_id, seq) - 1 AS rank, count(*) OVER () AS n FROM txn)
+       WHERE rank >= n // 50 * 25 AND rank < n // 50 * 25 + 25""",
+)
+def _(t):
+    rows = paging.listing(t.txn.select("run_id", "seq", "txn_date"), NEWEST)
+    return rows.page(rows.total() // 50 + 1, 25)
+
+
+@query(
+    "w8_next_page",
+    """SELECT run_id, seq, txn_date FROM (SELECT *, row_number() OVER (ORDER BY txn_date DESC NULLS LAST, run_id, seq) AS place FROM txn) WHERE place BETWEEN 26 AND 50""",
+)
+def _(t):
+    rows = t.txn.select("run_id", "seq", "txn_date")
+    last = paging.after(rows, NEWEST, None, 25).tail(1)
+    return paging.after(rows, NEWEST, last[0].asDict() if last else None, 25)
+
+
 @query(
     "w9_many_gaps",
     """SELECT run_id, acc_prvdr_code, format, gap_related_balance_changes, start_date, end_date, date_diff('day', start_date, end_date) AS days_span, num_rows FROM unified WHERE gap_related_balance_changes >= 5 ORDER BY gap_related_balance_changes DESC, run_id LIMIT 20""",
