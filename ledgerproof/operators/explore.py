@@ -3,6 +3,7 @@ pages of a listing, filters, and set operations on runs."""
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,11 +129,19 @@ def options(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
 
 
+def in_month(col: str, month: str) -> Column:
+    """Whether a date or time is in a month (yyyy-MM). Compares the bare column, so files and row groups can be skipped;
+    NULL is in no month, and a text that is no month is an error."""
+    first = date.fromisoformat(f"{month}-01")
+    following = date(first.year + first.month // 12, first.month % 12 + 1, 1)
+    return (F.col(col) >= F.lit(first)) & (F.col(col) < F.lit(following))
+
+
 def candidates(mapper: DataFrame, provider: str, lambda_status: str, month: str | None = None) -> DataFrame:
     """Runs to process: by provider, status and month, newest first."""
     rows = mapper.filter((F.col("acc_prvdr_code") == provider) & (F.col("lambda_status") == lambda_status))
     if month:
-        rows = rows.filter(F.date_format("created_date", "yyyy-MM") == month)
+        rows = rows.filter(in_month("created_date", month))
     return rows.orderBy(F.desc("created_date"), "run_id")
 
 
