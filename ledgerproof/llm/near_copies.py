@@ -6,8 +6,9 @@ each; two texts with a similarity of 0.8 share a band with probability 1 - 2e-5,
 that shares a band is verified by the exact Jaccard similarity of its shingles, unless other links join it already.
 
 Texts with equal words (A-Z in lower case) are one node, named by the XXH64 of these words. Pairs are tried in
-rounds: first each band's nodes with the one that meets most others, so a crowd of copies costs a pair per node; then those that
-are left, as far as the shingles that only one of them has leave room for the similarity (an exact bound). A pair is tried once.
+rounds: first each band's nodes with the one that meets most others, so a crowd of copies costs a pair per node; then the nodes
+that share a band and still are apart meet by their rarest shingles, as many as two similar texts cannot all miss (an exact
+bound), and not by band: a crowd that shares most of its shingles, but less than 0.8, hardly meets that way. A pair is tried once.
 
 Edge cases as in `simhash`: a null or wordless text has no shingle and meets no other by MinHash; equal words are linked whatever
 their doc_ids; a null doc_id is no component's id unless nothing else is in it, and its row goes before any other; rows that share a doc_id are
@@ -40,7 +41,7 @@ STAR_ROUNDS, PAIRS_PER_MEMBER = 1, 4
 CHUNK = 512
 # Odd, so that multiplying permutes the 64-bit hashes.
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-MEASURED = "doc_id long, fp long, node long, n long, bands array<long>"
+MEASURED = "doc_id long, fp long, node long, bands array<long>"
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -58,19 +59,17 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (SimHash), node, n (distinct shingles), bands of every row."""
+    """doc_id, fp (SimHash), node, bands of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches):
-            fps, sizes, met = [], [], []
+            fps, met = [], []
             for text in texts:
-                hashes = shingles(text.encode().lower().split())
                 fps.append(fingerprint(text))
-                sizes.append(len(hashes))
-                met.append(np.array(bands(hashes), np.uint64).view(np.int64))
+                met.append(np.array(bands(shingles(text.encode().lower().split())), np.uint64).view(np.int64))
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), fps, batch.column("node"), pa.array(sizes, pa.int64()), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), fps, batch.column("node"), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), "text").mapInArrow(then_give_back(run), MEASURED)
 
@@ -106,16 +105,41 @@ def simhash_links(nodes: DataFrame) -> DataFrame:
     return materialise(same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "near_links")
 
 
-def own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, own: how many shingles of a node no other of nodes (node) has; nodes without any are missing."""
-    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    single = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("of")).filter(F.col("of") == 1)
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+def rarest(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root, n, at, shingle: the rarest shingles of each of nodes (node, root), by their place `at` among its n.
+
+    Two similar texts share one of them: of m shingles all but n * TENTHS / 10 are taken, and one more. Shingles that no
+    other of nodes has count as places, but are left out.
+    """
+    each = sets.join(nodes, "node").select("node", "root", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("of"))
+    ranked = each.join(held, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("of", "shingle"))).alias("ranked"))
+    taken = F.slice("ranked", F.lit(1), (F.floor((10 - TENTHS) * F.col("n") / 10) + 1).cast("int"))
+    placed = ranked.select("node", "root", "n", F.posexplode(taken).alias("at", "held"))
+    return placed.filter("held.of > 1").select("node", "root", "n", F.col("at").cast("long").alias("at"), F.col("held.shingle").alias("shingle"))
+
+
+def meeting_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes (node, root) of different roots that may be similar: they share one of their rarest shingles, and
+    what follows it in both leaves room for the similarity.
+
+    Of the pairs at a shingle one node at least is not of the root that most have there, so these are joined with all: a
+    large component that meets few others costs its size, not its square.
+    """
+    rows = materialise(rarest(sets, nodes), "near_rarest")
+    roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
+    most = roots.groupBy("shingle").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("most")).filter("roots > 1")
+    few = rows.join(most, "shingle").filter("root != most")
+    few = few.select("shingle", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    left = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))
+    room = (10 + TENTHS) * left >= TENTHS * (F.col("n") + F.col("nx"))
+    pairs = few.join(rows, "shingle").filter((F.col("root") != F.col("rx")) & room)
+    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """links, and those verified among nodes (node, n, bands), as far as they connect what isn't connected yet."""
-    members = nodes.select(F.explode("bands").alias("band"), "node", "n")
+    """links, and those verified among nodes (node, bands), as far as they connect what isn't connected yet."""
+    members = nodes.select(F.explode("bands").alias("band"), "node")
     crowded = materialise(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
     members = members.join(broadcast_if_small(crowded, crowded.count()), "band")
     # The node that meets most others is nearest to them, so it is tried first. (A node has a row per band at most.)
@@ -136,20 +160,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFr
         if not n:
             return links
         every = turn == STAR_ROUNDS or not found or cross <= PAIRS_PER_MEMBER * n
-        here = placed.join(broadcast_if_small(split.select("band", "hub"), split.count()), "band").select("band", "hub", "node", "n", "root", F.lit(0).cast("long").alias("own"))
+        here = placed.join(broadcast_if_small(split.select("band", "hub"), split.count()), "band")
         if every:
-            here = materialise(here.drop("own"), "placed")
-            here = here.join(own_shingles(sets, here.select("node").distinct()), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            here = here.filter(10 * (F.col("n") - F.col("own")) >= TENTHS * F.col("n"))
-        here = materialise(here, "placed")
-        one = here if every else here.filter("node = hub")
-        one = one.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("own").alias("ox"))
-        # What two nodes share is at most what either has in common with any other; what they have together, at least
-        # one's shingles and those of the other that nobody else has.
-        shared = F.least(F.col("n") - F.col("own"), F.col("nx") - F.col("ox"))
-        together = F.greatest(F.col("n") + F.col("ox"), F.col("nx") + F.col("own"))
-        pairs = here.join(one, "band").filter((F.col("root") != F.col("rx")) & (10 * shared >= TENTHS * together))
-        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+            pairs = meeting_pairs(sets, materialise(here.select("node", "root").distinct(), "placed"))
+        else:
+            here = materialise(here.select("band", "hub", "node", "root"), "placed")
+            hubs = here.filter("node = hub").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
+            pairs = here.join(hubs, "band").filter(F.col("root") != F.col("rx"))
+            pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near_pairs")
@@ -163,7 +181,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFr
 def near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, node of every row, and node, root of the nodes that are linked with another."""
     rows = materialise(measured(docs), "near_measured")
-    nodes = materialise(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "bands"))), "near_nodes")
+    nodes = materialise(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "bands"))), "near_nodes")
     return rows.select("doc_id", "node"), components(similar_links(docs, nodes, simhash_links(nodes)))
 
 

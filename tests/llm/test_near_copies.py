@@ -1,6 +1,7 @@
 """The pipeline's near copies against brute force: SimHash's links and all that share 0.8 of their five-word shingles."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -54,3 +55,45 @@ def test_rows_that_share_a_doc_id(spark):
         stay = drop(docs)
         assert stay.columns == docs.columns
         assert sorted((r.doc_id, r.text) for r in stay.collect()) == want
+
+
+def test_meeting_pairs_miss_no_similar_pair(spark):
+    """Random sets around a few cores, one root of many members among them, against all pairs."""
+    rnd = random.Random(9)
+    cores = [rnd.sample(range(400), size) for size in (4, 9, 30, 31, 60)]
+    rows = []
+    for node in range(160):
+        core = cores[node % 5]
+        kept = [x for x in core if rnd.random() > rnd.choice([0, 0.05, 0.1])] or core[:1]
+        rows.append((node, sorted({*kept, *rnd.sample(range(400), rnd.randrange(1 + len(core) // 8))}), 0 if node % 3 else node))
+    sets = spark.createDataFrame([r[:2] for r in rows], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(r[0], r[2]) for r in rows], "node long, root long")
+    got = {(r.a, r.b) for r in near_copies.meeting_pairs(sets, nodes).collect()}
+    apart = [(x, y) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2]]
+    similar = set()
+    for (a, x, _), (b, y, _) in apart:
+        both = len(set(x) & set(y))
+        if 10 * both >= 8 * (len(x) + len(y) - both):
+            similar.add((a, b))
+    assert len(similar) > 200 and similar <= got <= {(x[0], y[0]) for x, y in apart}
+    assert near_copies.meeting_pairs(sets, nodes.limit(0)).count() == 0
+
+
+def test_a_crowd_below_the_similarity_meets_rarely(spark):
+    """Texts that share three fifths of their shingles are not tried pair by pair."""
+    rnd = random.Random(5)
+    common = list(range(60))
+    rows = [(node, common + [1000 + rnd.randrange(2000) for _ in range(40)]) for node in range(300)]
+    sets = spark.createDataFrame([(n, sorted(set(s))) for n, s in rows], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(n, n) for n, _ in rows], "node long, root long")
+    held = Counter(x for _, own in rows for x in set(own))
+    ranked = {n: sorted(set(own), key=lambda x: (held[x], x)) for n, own in rows}
+    taken = {n: {x: len(r) - at for at, x in enumerate(r[: len(r) * 2 // 10 + 1])} for n, r in ranked.items()}
+    want = set()
+    for b in range(300):
+        for a in range(b):
+            left = [min(taken[a][x], taken[b][x]) for x in taken[a].keys() & taken[b].keys()]
+            if left and 18 * max(left) >= 8 * (len(ranked[a]) + len(ranked[b])):
+                want.add((a, b))
+    got = {(r.a, r.b) for r in near_copies.meeting_pairs(sets, nodes).collect()}
+    assert got == want and 0 < len(want) < 300 * 299 / 2 / 5
