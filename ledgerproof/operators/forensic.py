@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, Sort, scan
+from ledgerproof.operators.sequence import ARRIVAL, Ordered, Sizing, Sort, plain, scan, split_hot
 
 RUN = ["run_id"]
 
@@ -133,29 +133,35 @@ def time_anomalies(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
 # -- amounts ---------------------------------------------------------------------------------
 
 
-def amount_patterns(txn: DataFrame) -> DataFrame:
-    """Round-number share, repeated-amount share and first-digit score from one pre-aggregate
-    of (run, amount) counts."""
-    counts = txn.filter("amount is not null").groupBy("run_id", "amount").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.floor("amount").cast("string")
-    digit = F.when(F.col("amount") >= 1, F.substring(whole, 1, 1).cast("int"))
-    counts = counts.withColumn("digit", digit)
-    n = F.col("n")
-    agg = counts.groupBy("run_id").agg(
-        F.sum("n").alias("rows"),
+def _amount_sums(n: Column) -> list[Column]:
+    """Sums over (run, amount) counts; `n` is the count, NULL on rows without an amount."""
+    digit = F.when(F.col("amount") >= 1, F.substring(F.floor("amount").cast("string"), 1, 1).cast("int"))
+    return [
+        F.sum(n).alias("rows"),
         F.sum(F.when(F.col("amount") % ROUND_STEP == 0, n).otherwise(0)).alias("round_rows"),
         F.count_if(n > 1).alias("repeated"),
-        F.sum(F.when(F.col("digit").isNotNull(), n).otherwise(0)).alias("digits"),
-        *[F.sum(F.when(F.col("digit") == d, n).otherwise(0)).alias(f"d{d}") for d in FIRST_DIGIT_SHARE],
-    )
+        F.sum(F.when(digit.isNotNull(), n).otherwise(0)).alias("digits"),
+        *[F.sum(F.when(digit == d, n).otherwise(0)).alias(f"d{d}") for d in FIRST_DIGIT_SHARE],
+    ]
+
+
+def _amount_ratios() -> list[Column]:
+    """NULL for a run without amounts."""
     off = sum((F.abs(F.col(f"d{d}") / F.col("digits") - F.lit(p)) for d, p in FIRST_DIGIT_SHARE.items()), F.lit(0.0))
     score = F.when(F.col("digits") < MIN_DIGITS, 0.5).otherwise(1.0 - off / 2)
-    return agg.select(
-        "run_id",
-        F.round(F.col("round_rows") / F.col("rows"), 6).alias("round_number_ratio"),
-        F.round(F.col("repeated") / F.col("rows"), 6).alias("duplicate_amount_ratio"),
-        F.round(score, 6).alias("benford_score"),
-    )
+    some = F.col("rows") > 0
+    return [
+        F.when(some, F.round(F.col("round_rows") / F.col("rows"), 6)).alias("round_number_ratio"),
+        F.when(some, F.round(F.col("repeated") / F.col("rows"), 6)).alias("duplicate_amount_ratio"),
+        F.when(some, F.round(score, 6)).alias("benford_score"),
+    ]
+
+
+def amount_patterns(txn: DataFrame) -> DataFrame:
+    """Round-number share, repeated-amount share and first-digit score from one pre-aggregate
+    of (run, amount) counts."""
+    counts = txn.filter("amount is not null").groupBy("run_id", "amount").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("run_id").agg(*_amount_sums(F.col("n"))).select("run_id", *_amount_ratios())
 
 
 # -- page headers ----------------------------------------------------------------------------
@@ -225,19 +231,96 @@ def header_cross_tab(rollup: DataFrame, summary: DataFrame) -> DataFrame:
 # -- all metrics in one nested row -------------------------------------------------------------
 
 
-def all_metrics(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
-    """Nested metrics per statement with the findings worth a look."""
-    parts = {
-        "id_integrity": id_integrity(txn),
-        "balance_jumps": balance_jumps(txn, sizing=sizing),
-        "timestamps": time_anomalies(txn, sizing),
-        "amounts": amount_patterns(txn),
+def _counted_values(txn: DataFrame) -> DataFrame:
+    """run_id, one of (txn_id, number, pattern, second, amount), n: how often each value stands in its run.
+
+    One pass over the rows, one shuffle with map-side combine, on the value as well as the run: the
+    rows of a large run spread over all tasks.
+    """
+    c, digits = F.col, longest_digits(F.col("txn_id"))
+    values = {
+        "txn_id": F.when(c("txn_id") != "", c("txn_id")),
+        "number": F.when(c("txn_id") != "", digits),
+        "pattern": F.when((c("txn_id") != "") & digits.isNotNull(), F.regexp_replace("txn_id", r"\d+", "#")),
+        "second": F.date_trunc("second", "txn_date"),
+        "amount": c("amount"),
     }
-    out = None
-    for name, df in parts.items():
-        nested = df.select("run_id", F.struct(*[c for c in df.columns if c != "run_id"]).alias(name))
-        out = nested if out is None else out.join(nested, "run_id", "left")
+    types = txn.select(*[v.alias(name) for name, v in values.items()]).schema
+
+    def alone(name: str) -> Column:
+        return F.struct(*[(c(f"_{x.name}") if x.name == name else F.lit(None).cast(x.dataType)).alias(x.name) for x in types])
+
+    rows = txn.select("run_id", *[v.alias(f"_{name}") for name, v in values.items()])
+    each = F.array_compact(F.array(*[F.when(c(f"_{name}").isNotNull(), alone(name)) for name in values]))
+    rows = rows.select("run_id", F.explode(each).alias("value")).select("run_id", "value.*")
+    return rows.groupBy("run_id", *values).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _value_metrics(txn: DataFrame) -> DataFrame:
+    """What `id_integrity`, `same_second_groups`, `hour_shares` and `amount_patterns` say, from one table of counts."""
+    c, n = F.col, F.col("n")
+
+    def of(name: str) -> Column:
+        return F.when(c(name).isNotNull(), n)
+
+    hour, day, zero = F.hour("second"), F.weekday("second"), F.lit(0)
+    sums = _counted_values(txn).groupBy("run_id").agg(
+        F.count_if(of("txn_id") > 1).alias("duplicate_ids"),
+        (F.max("number") - F.min("number") + 1 - F.count("number")).cast("long").alias("gap_count"),
+        (F.sum(of("pattern")) - F.max(of("pattern"))).alias("pattern_break_count"),
+        F.count_if(of("second") > 1).alias("same_second_groups"),
+        F.sum(of("second")).alias("dated"),
+        F.sum(F.when(hour.between(8, 17), n).otherwise(zero)).alias("office"),
+        F.sum(F.when(day >= 5, n).otherwise(zero)).alias("weekend"),
+        *_amount_sums(of("amount")),
+    )
+    few = F.coalesce(c("dated"), zero) < 2
+    return sums.select(
+        "run_id", "duplicate_ids",
+        F.coalesce("gap_count", zero).alias("gap_count"),
+        F.coalesce("pattern_break_count", zero).alias("pattern_break_count"),
+        "same_second_groups",
+        F.round(F.when(few, 0.0).otherwise(c("office") / c("dated")), 6).alias("business_hours_ratio"),
+        F.round(F.when(few, 0.0).otherwise(c("weekend") / c("dated")), 6).alias("weekend_ratio"),
+        *_amount_ratios(),
+    )
+
+
+def _order_metrics(txn: DataFrame, threshold: float, sizing: Sizing) -> DataFrame:
+    """What `balance_jumps` and `backward_steps` say. Ordinary runs: both orders over one shuffle on
+    run_id. Hot runs: each order in blocks of its own."""
+    slim = txn.select("run_id", "seq", "txn_date", "balance")
+    cold, hot, _ = split_hot(slim, RUN, sizing.hot_rows, sizing.at_most)
+    jumps = _jumps(plain(cold, RUN, ARRIVAL), threshold).df
+    seen = plain(jumps, RUN, (Sort("seq"),)).lag(F.col("txn_date"), "_before").df
+    out = seen.groupBy("run_id").agg(
+        F.count("jump_ratio").alias("balance_jump_count"),
+        F.round(F.coalesce(F.max("jump_ratio"), F.lit(0.0)), 6).alias("max_jump_ratio"),
+        F.count_if(F.col("_before") > F.col("txn_date")).alias("non_chronological_count"),
+    )
+    if hot is None:
+        return out
+    # What is left is hot, so the test for it is not repeated with a bound.
+    every = Sizing(sizing.hot_rows, sizing.block_rows)
+    return out.unionByName(balance_jumps(hot, threshold, every).join(backward_steps(hot, every), "run_id"))
+
+
+def all_metrics(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
+    """Nested metrics per statement with the findings worth a look.
+
+    Two passes over the rows: values counted, and rows in order. A run without ids, dates or amounts is
+    in the result too: its counts are zero, its shares of hours zero, its shares of amounts NULL.
+    """
     c = F.col
+    flat = _order_metrics(txn, 0.5, sizing).join(_value_metrics(txn), "run_id", "left")
+    flat = flat.fillna(0, ["duplicate_ids", "gap_count", "pattern_break_count", "same_second_groups", "business_hours_ratio", "weekend_ratio"])
+    out = flat.select(
+        "run_id",
+        F.struct("duplicate_ids", "gap_count", "pattern_break_count").alias("id_integrity"),
+        F.struct("balance_jump_count", "max_jump_ratio").alias("balance_jumps"),
+        F.struct("same_second_groups", "non_chronological_count", "business_hours_ratio", "weekend_ratio").alias("timestamps"),
+        F.struct("round_number_ratio", "duplicate_amount_ratio", "benford_score").alias("amounts"),
+    )
     findings = F.array_compact(
         F.array(
             F.when(c("id_integrity.duplicate_ids") > 0, "duplicate_ids"),
