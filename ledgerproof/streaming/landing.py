@@ -2,6 +2,9 @@
 
 Beside the table of lines stands one of runs (`<table>-runs`, one row per run), so a batch is
 compared with the runs landed so far and not with their lines. `line_no` orders a file's lines.
+
+Runs arrive as one file each, or bundled: files of JSON lines with `run_id` and `line`, many runs to a file and
+each run whole in one file. A file per run costs several file operations a run, so many small runs come bundled.
 """
 
 from __future__ import annotations
@@ -14,13 +17,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerproof.sources.statements import run_id_of
 
 
-def offered_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of arriving files with the run they belong to: a `run_id=` folder or the file name."""
-    text = spark.readStream.option("recursiveFileLookup", True).text(folder)
+def offered_lines(spark: SparkSession, folder: str, bundled: bool = False) -> DataFrame:
+    """Lines of arriving files with the run they belong to: the one a bundled line names, a `run_id=` folder or the file name."""
     path = F.col("_metadata.file_path")
     by_folder = F.nullif(F.regexp_extract(path, "run_id=([^/]+)/", 1), F.lit(""))
-    block = F.col("_metadata.file_block_start").alias("block")
-    return text.select(F.coalesce(by_folder, run_id_of(path)).alias("run_id"), path.alias("path"), block, F.col("value").alias("line"))
+    run, block = F.coalesce(by_folder, run_id_of(path)), F.col("_metadata.file_block_start").alias("block")
+    arriving = spark.readStream.option("recursiveFileLookup", True)
+    if bundled:
+        text = arriving.schema("run_id string, line string").json(folder)
+        return text.select(F.coalesce("run_id", run).alias("run_id"), path.alias("path"), block, "line")
+    return arriving.text(folder).select(run.alias("run_id"), path.alias("path"), block, F.col("value").alias("line"))
+
+
+def write_bundles(lines: DataFrame, folder: str) -> None:
+    """`run_id` and `line` as bundles; all lines of a run go to one file, as `land` takes one file of a run."""
+    lines.select("run_id", "line").repartition("run_id").write.json(folder)
 
 
 def landed(spark: SparkSession, table: str) -> DataFrame | None:
@@ -55,10 +66,10 @@ def _append_new(table: str):
     return write
 
 
-def land(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+def land(spark: SparkSession, folder: str, table: str, checkpoint: str, bundled: bool = False) -> StreamingQuery:
     """Process what is there and stop. A statement arrives whole, so no watermark is needed."""
     return (
-        offered_lines(spark, folder)
+        offered_lines(spark, folder, bundled)
         .writeStream.foreachBatch(_append_new(table))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

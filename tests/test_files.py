@@ -2,8 +2,11 @@
 
 import gzip
 import hashlib
+from pathlib import Path
 
 from ledgerproof.operators import explore, lineage
+from ledgerproof.plans import QUERIES
+from ledgerproof.session import shared_dir
 from pyspark.sql import functions as F
 
 from ledgerproof.sources import sinks
@@ -76,6 +79,26 @@ def test_landing_takes_each_run_once(spark, tmp_path):
     assert {r["run_id"]: r["count"] for r in got} == {"r1": 2, "r2": 1}
 
 
+def test_landing_takes_runs_of_bundles(spark, tmp_path):
+    """Many runs to a file: few files for many runs, line breaks stay inside their line, later offers of a run are left out."""
+    inbox, table, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    lines = spark.range(600).selectExpr("concat('R', id % 200) AS run_id", "concat('x', id, chr(10), 'y') AS line").repartition(5)
+    landing.write_bundles(lines.filter("run_id like '%1'"), f"{inbox}/a")
+    landing.land(spark, inbox, table, marks, bundled=True).awaitTermination()
+    landing.write_bundles(lines, f"{inbox}/b")
+    landing.land(spark, inbox, table, marks, bundled=True).awaitTermination()
+    got = landing.landed(spark, table).groupBy("run_id", "batch_id").count().collect()
+    assert {r["run_id"]: (r["batch_id"], r["count"]) for r in got} == {f"R{i}": (int(i % 10 != 1), 3) for i in range(200)}
+    assert len(list((tmp_path / "in").rglob("*.json"))) < 40
+
+
+def test_landing_query_writes_few_files(spark):
+    before = set(Path(shared_dir(spark)).glob("landing-*"))
+    runs = QUERIES["t1_incremental_landing"](spark, "/root/testdata/sf0.001").count()
+    (made,) = set(Path(shared_dir(spark)).glob("landing-*")) - before
+    assert runs > len([f for f in (made / "in").rglob("part-*")])
+
+
 def test_fingerprint_keeps_values_apart(spark):
     rows = [("A", 1, "x,y", "z"), ("B", 1, "x", "y,z"), ("C", 1, None, "z"), ("D", 1, "", "z"), ("E", 1, "-", "z")]
     df = spark.createDataFrame(rows, "run_id string, seq long, t string, u string")
