@@ -129,13 +129,15 @@ def _lean(previous: Column, with_fee: Column) -> tuple[Column, Column]:
     return with_it < without - F.lit(A.TOLERANCE), without < with_it - F.lit(A.TOLERANCE)
 
 
-def mark_votes(rows: Ordered) -> Ordered:
-    """One 0/1 column per vote. The first row of a run never votes; fees are left out."""
-    seen = rows.lag(A.money(F.col("balance")), "_prev")
+def mark_votes(rows: Ordered, previous: str | None = None) -> Ordered:
+    """One 0/1 column per vote. The first row of a run never votes; fees are left out. `previous`: a column with the
+    balance of the row before as `v` (`Ordered.strictly_earlier`), dropped here."""
+    name = previous or "_prev"
+    seen = rows if previous else rows.lag(F.struct(F.col("balance").alias("v")), name)
     amount, text = F.col("amount"), F.col("description")
-    cash_for, cash_against = _lean(F.col("_prev"), A.cashback_of(amount))
-    ind_for, ind_against = _lean(F.col("_prev"), -A.commission_of(amount))
-    voter = F.col("_prev").isNotNull()
+    before, voter = A.money(F.col(name)["v"]), F.col(name).isNotNull()
+    cash_for, cash_against = _lean(before, A.cashback_of(amount))
+    ind_for, ind_against = _lean(before, -A.commission_of(amount))
 
     def flag(on: Column, lean: Column) -> Column:
         return F.coalesce((voter & on & lean), F.lit(False)).cast("int")
@@ -149,7 +151,7 @@ def mark_votes(rows: Ordered) -> Ordered:
                 VOTES[2]: flag(ind, ind_for),
                 VOTES[3]: flag(ind, ind_against),
             }
-        ).drop("_prev")
+        ).drop(name)
     )
 
 

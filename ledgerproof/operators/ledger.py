@@ -30,6 +30,7 @@ from ledgerproof.operators.sequence import (
 from ledgerproof.operators.ties import MAX_TIED, resolve_ties, tie_delta
 
 RUN = ("run_id",)
+PREVIOUS = "_previous"  # what signs and votes both read of the row before
 DAY_SECONDS = 24 * 3600
 USES = ("uses_implicit_cashback", "uses_implicit_ind02_commission")
 
@@ -38,10 +39,10 @@ ALWAYS_OUT = "LOAN_REPAYMENT"
 BY_MOVEMENT = "ADJUSTMENT"
 
 
-def _normalised(rows: Ordered) -> Ordered:
+def _normalised(rows: Ordered, previous: str | None = None) -> Ordered:
     """Sign of loan repayments and adjustments (the latter from the balance movement since
     the last row with a strictly earlier timestamp)."""
-    seen = rows.strictly_earlier(F.col("balance"), "_before")
+    seen = rows.strictly_earlier(F.col("balance"), "_before", previous=previous)
     c = F.col
     sheet = c("acc_prvdr_code") == "UMTN"
     change = c("balance") - c("_before")
@@ -58,16 +59,16 @@ def normalise_signs(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     return scan(txn, RUN, ARRIVAL, lambda rows: _normalised(rows).df, sizing)
 
 
-def _run_facts(rows: Ordered) -> DataFrame:
+def _run_facts(rows: Ordered) -> Ordered:
     """Votes and signed test of the run on each of its rows."""
     airtime = F.col("acc_prvdr_code") == "UATL"
-    marked = mark_votes(rows)
+    marked = mark_votes(rows, PREVIOUS)
     facts = marked.per_key(
         **{f"_{v}": F.sum(v) for v in VOTES},
         is_signed=F.bool_or(F.col("amount") < 0),
     )
     c = F.col
-    return facts.df.withColumns(
+    decided = facts.df.withColumns(
         {
             # Sheets have no vote; both flags keep their default.
             USES[0]: ~airtime | (c("_cashback_for") > c("_cashback_against")),
@@ -75,6 +76,7 @@ def _run_facts(rows: Ordered) -> DataFrame:
             "is_signed": F.coalesce(c("is_signed"), F.lit(False)) & (c("format") == "format_1"),
         }
     ).drop(*VOTES, *[f"_{v}" for v in VOTES])
+    return facts.over(decided)
 
 
 def with_movements(df: DataFrame, cashback=None, ind02=None) -> DataFrame:
@@ -207,8 +209,9 @@ NEEDED = (
 
 
 def _prepared(rows: Ordered) -> DataFrame:
-    """Signs, duplicate and special flags, run facts: windows over one shuffle on run_id."""
-    return _run_facts(mark_duplicates(_normalised(rows.over(flag_special(rows.df)))))
+    """Signs, run facts, duplicate and special flags: windows over one shuffle on run_id. Signs and
+    facts read the rows in one order, so they share a sort; the duplicates' own sort comes last."""
+    return mark_duplicates(_run_facts(_normalised(rows.over(flag_special(rows.df)), PREVIOUS))).df
 
 
 def _split_scan(txn: DataFrame, printed, sizing: Sizing) -> DataFrame:
@@ -256,7 +259,8 @@ def run_strategies(txn: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
         df = ordered.df.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
         forced = {u: F.when(chosen == "voting", F.col(u)).otherwise(chosen == "always_enable") for u in USES}
         df = with_movements(df.withColumns(forced))
-        fanned = Ordered(df, ("strategy", *ordered.keys), ordered.order, len(STRATEGIES) * ordered.blocks)
+        n, hot = len(STRATEGIES), ordered.hot_keys
+        fanned = Ordered(df, ("strategy", *ordered.keys), ordered.order, n * ordered.blocks, hot and n * hot)
         return replayed(fanned)
 
     return summarise(_split_scan(txn, replay_all, sizing), ("strategy", "run_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerproof.session import broadcast_if_small, materialise
+from ledgerproof.session import BROADCAST_ROWS, broadcast_if_small, materialise
 
 HOT_ROWS = 1_000_000
 BLOCK_ROWS = 500_000
@@ -65,6 +65,7 @@ class Ordered:
     keys: tuple[str, ...]
     order: tuple[Sort, ...]
     blocks: int = 0  # 0: every key fits one task; else the number of range blocks
+    hot_keys: int | None = 0  # keys laid out in blocks; None: not known
 
     @property
     def part(self) -> list[str]:
@@ -85,9 +86,17 @@ class Ordered:
     def over(self, df: DataFrame) -> Ordered:
         return replace(self, df=df)
 
+    def ordered_by(self, order: Seq[Sort]) -> Ordered:
+        return replace(self, order=tuple(order))
+
     def with_column(self, name: str, col: Column) -> Ordered:
         return self.over(self.df.withColumn(name, col))
 
+    @property
+    def pieces(self) -> int:
+        """Most pairs of key and block: a border between blocks cuts one key."""
+        return BROADCAST_ROWS + 1 if self.hot_keys is None else self.hot_keys + self.blocks
+
     def per_block(self, *aggs: Column) -> DataFrame:
         return self.df.groupBy(*self.part).agg(*aggs)
 
@@ -132,42 +141,55 @@ class Ordered:
         out = self.join_carry(carry.filter("_carry is not null"))
         return self.over(out.withColumn(name, F.coalesce(local, F.col("_carry"))).drop("_carry"))
 
-    def strictly_earlier(self, value: Column, name: str, ts: str = "txn_date") -> Ordered:
-        """`value` of the last row whose `ts` is earlier than this row's (an as-of look-back)."""
+    def strictly_earlier(self, value: Column, name: str, ts: str = "txn_date", previous: str | None = None) -> Ordered:
+        """`value` of the last row whose `ts` is earlier than this row's (an as-of look-back). `previous` names a
+        column for what is read on the way: `ts` and `v` of the row before, NULL on the first."""
         seen = self.lag(F.struct(F.col(ts).alias("ts"), value.alias("v")), "_prev")
         opens = F.when(
             F.col("_prev").isNotNull() & ~F.col(ts).eqNullSafe(F.col("_prev")["ts"]),
             F.struct(F.col("_prev")["v"].alias("v")),
         )
         known = seen.over(seen.df.withColumn("_opens", opens)).last_known(F.col("_opens"), "_known")
-        return known.over(known.df.withColumn(name, F.col("_known")["v"]).drop("_prev", "_opens", "_known"))
+        found = known.df.withColumn(name, F.col("_known")["v"]).drop("_opens", "_known")
+        return known.over(found.withColumnRenamed("_prev", previous) if previous else found.drop("_prev"))
 
     def per_key(self, **aggs: Column) -> Ordered:
-        """Aggregates of the whole key on each row (`blocks` keys are few: a bounded join)."""
+        """Aggregates of the whole key on each row."""
         if not self.blocks:
             everything = W.partitionBy(*self.keys)
             cols = {n: a.over(everything) for n, a in aggs.items()}
             return self.over(self.df.withColumns(cols))
         table = self.df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
-        out = self.df.join(broadcast_if_small(table, self.blocks), list(self.keys), "left")
+        out = self.df.join(broadcast_if_small(table, self.pieces), list(self.keys), "left")
         return self.over(out)
 
 
+class Hot(int):
+    """The number of rows of hot keys; `keys`: how many keys, None if not counted."""
+
+    keys: int | None
+
+    def __new__(cls, rows: int, keys: int | None = 0) -> Hot:
+        out = super().__new__(cls, rows)
+        out.keys = keys
+        return out
+
+
 def split_hot(
     df: DataFrame, keys: Seq[str], hot_rows: int = HOT_ROWS, at_most: int | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
-    """(ordinary rows, rows of hot keys or None, number of hot rows).
+    """(ordinary rows, rows of hot keys or None, number of hot rows as a `Hot`).
 
-    `at_most` is an upper bound on the row count; when no key can be hot, nothing runs.
+    `at_most` is an upper bound on the rows of any one key; when no key can be hot, nothing runs.
     """
     if at_most is not None and at_most <= hot_rows:
-        return df, None, 0
+        return df, None, Hot(0)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     n_keys, n_rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_keys:
-        return df, None, 0
+        return df, None, Hot(0)
     hot = broadcast_if_small(sizes.select(*keys), n_keys)
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi"), n_rows
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi"), Hot(n_rows, n_keys)
 
 
 def plain(df: DataFrame, keys: Seq[str], order: Seq[Sort]) -> Ordered:
@@ -181,12 +203,13 @@ def blocked(
     are sampled anew whenever a plan is evaluated and the block numbers must not move."""
     n = max(2, math.ceil(rows / block_rows))
     laid = df.repartitionByRange(n, *keys, *[k.order() for k in order]).withColumn(BLOCK, F.spark_partition_id())
-    return Ordered(materialise(laid, "blocks"), tuple(keys), tuple(order), n)
+    return Ordered(materialise(laid, "blocks"), tuple(keys), tuple(order), n, getattr(rows, "keys", None))
 
 
 @dataclass(frozen=True)
 class Sizing:
-    """When a key counts as hot, how large a block is, and what is known about the input."""
+    """When a key counts as hot, how large a block is, and what is known about the input (`at_most`: the
+    rows that any one key can have)."""
 
     hot_rows: int = HOT_ROWS
     block_rows: int = BLOCK_ROWS

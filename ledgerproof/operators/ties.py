@@ -60,7 +60,8 @@ def _whole(col: Column) -> Column:
 
 
 def mark_open(rows: Ordered) -> Ordered:
-    """`_open`: the row is in a group to be ordered; `_head`: no open group precedes it; `_starts`: another timestamp precedes it.
+    """`_open`: the row is in a group to be ordered; `_starts`: another timestamp precedes it; `_head`: the row starts a
+    group that no open group precedes (in plain runs every start of a group is marked, `_place` clears the others).
 
     For hot runs a small group cut by a block border is moved whole into the earlier block.
     Expects `_tie_delta`; everything here shares the one sort of the printed order.
@@ -70,7 +71,7 @@ def mark_open(rows: Ordered) -> Ordered:
         counts = df.groupBy(*rows.keys, "txn_date", BLOCK).agg(F.count(F.lit(1)).alias("_n"))
         # Only the first and last timestamp of a block can be cut by its border.
         border = rows.per_block(F.min("txn_date").alias("_lo"), F.max("txn_date").alias("_hi"))
-        edge = counts.join(broadcast_if_small(border, 2 * rows.blocks), rows.part).filter("txn_date in (_lo, _hi)")
+        edge = counts.join(broadcast_if_small(border, rows.pieces), rows.part).filter("txn_date in (_lo, _hi)")
         cut = edge.groupBy(*rows.keys, "txn_date").agg(
             F.sum("_n").alias("_whole"), F.min(BLOCK).alias("_home"), F.count(F.lit(1)).alias("_pieces")
         ).filter("_pieces > 1").drop("_pieces")
@@ -83,13 +84,19 @@ def mark_open(rows: Ordered) -> Ordered:
     # Rows of the same timestamp are peers of this frame.
     peers = W.partitionBy(*rows.part).orderBy(F.col("txn_date").asc_nulls_last()).rangeBetween(W.currentRow, W.currentRow)
     tied = F.coalesce(F.col("_whole"), F.count(F.lit(1)).over(peers))
-    first = seen.with_column("_tied", tied).per_key(_first_ts=F.min("txn_date"))
+    if rows.blocks:
+        first = seen.with_column("_tied", tied).per_key(_first_ts=F.min("txn_date"))
+    else:  # rows come in the order of their dates, so the first date of a run is the least so far
+        first = seen.with_column("_first_ts", F.min("txn_date").over(rows.so_far)).with_column("_tied", tied)
     is_open = (
         (F.col("format") != "format_2") & F.col("_tied").between(2, MAX_TIED) & (F.col("txn_date") > F.col("_first_ts"))
     )
-    opened = first.with_column("_open", F.coalesce(is_open, F.lit(False))).lag(F.col("_open"), "_prev_open")
+    opened = first.with_column("_open", F.coalesce(is_open, F.lit(False)))
     starts = ~F.col("txn_date").eqNullSafe(F.col("_prev")["ts"])
-    head = F.col("_open") & starts & ~F.coalesce(F.col("_prev_open"), F.lit(False))
+    head = F.col("_open") & starts
+    if rows.blocks:  # in plain runs the pass over the rows sees the row before
+        opened = opened.lag(F.col("_open"), "_prev_open")
+        head = head & ~F.coalesce(F.col("_prev_open"), F.lit(False))
     return opened.over(
         opened.df.withColumn("_head", head).withColumn("_starts", starts)
         .withColumn("_head_balance", F.when(F.col("_head"), F.col("_prev")["balance"]))
@@ -198,8 +205,14 @@ def _place(entries: bool):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chain = _Chain()
+        before = False
         for table in _whole_groups(batches):
-            at = np.flatnonzero(_flags(table, "_open"))
+            is_open = _flags(table, "_open")
+            if not entries:  # no row of a run's first group is open, so the row before is of the same run
+                head = _flags(table, "_head") & ~np.append(before, is_open[:-1])
+                table = table.set_column(table.column_names.index("_head"), "_head", pa.array(head))
+                before = is_open[-1]
+            at = np.flatnonzero(is_open)
             tie = np.zeros(table.num_rows, np.int32)
             opened = table.take(at)
             for offset, piece in _parts(opened) if entries else [(0, opened)]:
@@ -296,7 +309,7 @@ def _entry_states(rows: Ordered) -> DataFrame:
     """Per continued block of a hot run: the balance its first group starts from."""
     opened = rows.df.filter("_open").withColumn("_at", F.row_number().over(rows.window))
     edge = rows.per_block(F.max("txn_date").alias("_hi"), F.min("txn_date").alias("_lo"))
-    edge = broadcast_if_small(edge, 2 * rows.blocks)
+    edge = broadcast_if_small(edge, rows.pieces)
     # The last group of a block when it is open: at most six balances in printed order.
     listed = F.sort_array(F.collect_list(F.struct("_at", F.col("_tie_balance").alias("balance"))))
     last = (
@@ -309,7 +322,7 @@ def _entry_states(rows: Ordered) -> DataFrame:
     before = W.partitionBy(*rows.keys).orderBy(BLOCK)
     border = edge.select(*rows.part).join(last, rows.part, "left").withColumn("_candidates", F.lag("_last").over(before))
     border = border.join(starts, rows.part, "left").select(*rows.part, "_candidates", F.coalesce("continued", F.lit(False)).alias("continued"))
-    border = broadcast_if_small(border, 2 * rows.blocks)
+    border = broadcast_if_small(border, rows.pieces)
     slim = opened.select(*rows.part, "_at", "_tie_balance", "_tie_delta", "_starts", "_head", "_head_balance").join(border, rows.part)
     names = [*rows.part, "continued"]
     kinds = ", ".join(f"{n} {rows.df.schema[n].dataType.simpleString()}" for n in rows.part)
@@ -326,7 +339,7 @@ def _entry_states(rows: Ordered) -> DataFrame:
 
 
 def order_blocked(rows: Ordered) -> DataFrame:
-    entries = broadcast_if_small(_entry_states(rows), 2 * rows.blocks)
+    entries = broadcast_if_small(_entry_states(rows), 2 * rows.blocks)  # blocks that continue a run
     laid = rows.df.join(entries, rows.part, "left")
     first = F.row_number().over(rows.window) == 1
     laid = laid.withColumn("_entry", F.when(first, F.col("_entry")))
@@ -340,4 +353,4 @@ def resolve_ties(rows: Ordered) -> Ordered:
     marked = mark_open(rows.over(rows.df.filter((F.col("format") == "format_2") | F.col("txn_date").isNotNull())))
     placed = order_blocked(marked) if marked.blocks else order_plain(marked)
     order = (rows.order[0], Sort("_tie"), *rows.order[1:])
-    return Ordered(placed, rows.keys, order, rows.blocks)
+    return rows.over(placed).ordered_by(order)

@@ -7,10 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerproof.operators import ledger, verdict
-from ledgerproof.operators.sequence import Sizing
+from ledgerproof.operators.sequence import HOT_ROWS, Sizing
 from ledgerproof.session import tune
 from ledgerproof.sources import fixtures as X
 
+# Rows that one partition of a shuffle is planned for.
+TASK_ROWS = 500_000
+
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -21,9 +24,22 @@ class Tables:
 
     @cached_property
     def sizing(self) -> Sizing:
-        """Row counts come from the Parquet footers; they bound what any one run can hold
-        (a fiftieth of the order rows is printed twice), so small inputs skip the hot test."""
-        return Sizing(at_most=2 * (self.read("orders").count() + self.read("events").count()))
+        """Row counts come from the Parquet footers; they bound what any one run can hold, so small
+        inputs skip the hot test. For others one pass over the numbers of the runs finds the longest, in place of
+        a pass over the rows for each ordered operator."""
+        if self.rows <= HOT_ROWS:
+            return Sizing(at_most=self.rows)
+        return Sizing(at_most=X.longest_run(self.read("orders"), self.read("events")))
+
+    @cached_property
+    def rows(self) -> int:
+        """Upper bound on the rows of all statements: a fiftieth of the order rows is printed twice. Shuffles are
+        dealt so finely that no task grows with it; adaptive execution joins small partitions."""
+        found = 2 * (self.read("orders").count() + self.read("events").count())
+        conf, wanted = self.spark.conf, found // TASK_ROWS
+        if wanted > int(conf.get("spark.sql.shuffle.partitions")):
+            conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
+        return found
 
     @cached_property
     def uatl(self) -> DataFrame:
