@@ -3,7 +3,8 @@
 Where a line starts (outside or inside a quoted cell) decides where it ends, so a line is a map from {outside, inside}
 to {outside, inside}: it keeps the state, turns it, or leads to one state whatever came before. Such maps
 compose, so they are combined first within each split of a file, then over the splits (one row each), and only then is
-it known of each line whether it begins a record. A record cut by a split's edge is stitched to its beginning.
+it known of each line whether it begins a record. A record cut by a split's edge is stitched to its beginning. Most files lie within
+one split, which begins outside: their records are known from the split alone, by one shuffle.
 
 A quote counts at the beginning of a cell only; inside a quoted cell two quotes are one, and any line end reads as a line feed. Where a file ends inside a
 quoted cell, the lines from that record's first on stay lines of their own. Only files with a line that ends inside a cell
@@ -12,6 +13,8 @@ take part; the lines of all others pass as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,24 +52,58 @@ def _with_maps(df: DataFrame, outside: Column, inside: Column, window) -> DataFr
 
 def whole_records(lines: DataFrame) -> DataFrame:
     """lines (path, line_no of block and row, line), with the lines of each record joined by line feeds at its first line_no."""
-    opening = lines.filter(ends_inside(F.col("line"), False)).select("path").distinct()
-    opening = materialise(opening, "multiline_files")
-    n = opening.count()
-    if not n:
+    opens, cut = F.max(ends_inside(F.col("line"), False)), F.min("line_no.block") != F.max("line_no.block")
+    files = materialise(lines.groupBy("path").agg(F.when(~opens, "plain").when(cut, "cut").otherwise("whole").alias("kind")), "line_files")
+    found = {r["kind"]: r["count"] for r in files.groupBy("kind").count().collect()}
+    if not found.keys() - {"plain"}:
         return lines
-    known = broadcast_if_small(opening, n)
-    straight, spread = lines.join(known, "path", "left_anti"), lines.join(known, "path", "left_semi")
-    return straight.unionByName(_stitched(spread.select("path", "line_no", "line")).select(*lines.columns))
+    lines = lines.select("path", "line_no", "line")
+    read = {"plain": lambda rows: rows, "whole": _within_splits, "cut": _stitched}
+    parts = [read[kind](_lines_of(lines, files, kind, found)) for kind in sorted(found)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _stitched(lines: DataFrame) -> DataFrame:
+def _lines_of(lines: DataFrame, files: DataFrame, kind: str, found: dict[str, int]) -> DataFrame:
+    """The lines of one kind of files: by a list of these files or of all others, whichever is shorter."""
+    n, others = found[kind], sum(found.values()) - found[kind]
+    if not others:
+        return lines
+    if n <= others:
+        return lines.join(broadcast_if_small(files.filter(F.col("kind") == kind).select("path"), n), "path", "left_semi")
+    return lines.join(broadcast_if_small(files.filter(F.col("kind") != kind).select("path"), others), "path", "left_anti")
+
+
+def _with_states(lines: DataFrame) -> DataFrame:
+    """_block, _row, and _map: the lines of a split up to each line as one map."""
     c = F.col
-    split = W.partitionBy("path", "_block").orderBy("_row")
-    so_far = split.rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = W.partitionBy("path", "_block").orderBy("_row").rowsBetween(W.unboundedPreceding, W.currentRow)
     maps = lines.withColumns({"_block": c("line_no.block"), "_row": c("line_no.row"), "_0": ends_inside(c("line"), False), "_1": ends_inside(c("line"), True)})
     maps = _with_maps(maps, c("_0"), c("_1"), so_far)
     fixed, state = _composed("_turns", "_settled", so_far)
-    maps = maps.withColumn("_map", F.struct(fixed.alias("fixed"), state.alias("state")))
+    return maps.withColumn("_map", F.struct(fixed.alias("fixed"), state.alias("state")))
+
+
+def _within_splits(lines: DataFrame) -> DataFrame:
+    """Records of files that lie within one split: it starts outside, so the state after each line is that of its map."""
+    c = F.col
+    order = W.partitionBy("path", "_block").orderBy("_row")
+    rows = _with_states(lines).withColumn("_inside", c("_map.state"))
+    rows = rows.withColumn("_first", ~F.coalesce(F.lag("_inside").over(order), F.lit(False)))
+    own = F.last(F.when(c("_first"), c("_row")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("_record", own)
+    # Where the file ends inside a cell, the last record's lines stay alone.
+    split = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    unclosed = F.last("_inside").over(split) & (c("_record") == F.last("_record").over(split))
+    rows = rows.withColumn("_record", F.when(unclosed, c("_row")).otherwise(c("_record")))
+    parts = F.array_sort(F.collect_list(F.struct("_row", "line")))
+    joined = rows.groupBy("path", "_block", "_record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
+    return joined.select("path", F.struct(c("_block").alias("block"), c("_record").alias("row")).alias("line_no"), "line")
+
+
+def _stitched(lines: DataFrame) -> DataFrame:
+    c = F.col
+    split = W.partitionBy("path", "_block").orderBy("_row")
+    maps = _with_states(lines)
     maps = maps.withColumn("_before", F.lag("_map").over(split))
     maps = materialise(maps.select("path", "_block", "_row", "line", "_map", "_before"), "line_states")
 

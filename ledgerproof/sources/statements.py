@@ -2,6 +2,10 @@
 
 A wallet file is a set of (path, line_no, line). Line numbers come from the block a line
 was read from and its place in the task, so a huge plain file still splits into many tasks.
+
+Statements come as one file each, or bundled: text files of many statements, each whole in one file, whose lines name
+their statement and go on, after a tab, as they stand in its own file. A file per statement costs several file operations a
+statement, so many small statements come bundled. A bundled statement is a wallet file too; its path begins with its name.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerproof.functions import parse as P
+from ledgerproof.session import materialise
 from ledgerproof.sources.records import whole_records
 
 # Column titles (source spelling) and preamble keys.
@@ -40,6 +45,9 @@ SHEET_COLUMNS = {
 MAPPER_SCHEMA = (
     "run_id string, acc_number string, rm_name string, acc_prvdr_code string, status string, lambda_status string, created_date date"
 )
+BOM = "\ufeff"
+# In bundles: between a name and its line; between a name and the bundle's path. Names are written URL-encoded, so they hold neither.
+NAME_END, IN_FILE = "\t", "@"
 NO_HEADER = "Could not find transaction header in CSV"
 # A quoted cell (doubled quotes inside) or one without commas, and the comma after it.
 CELL = r'("(?:[^"]++|"")*+"|[^,]*+),'
@@ -48,16 +56,34 @@ CELL = r'("(?:[^"]++|"")*+"|[^,]*+),'
 # -- wallet CSV ------------------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """Lines of plain or gzip files with their order within the file."""
+    file, line = F.col("_metadata.file_path"), F.col("value")
+    if bundled:
+        file = F.concat(F.substring_index("value", NAME_END, 1), F.lit(IN_FILE), file)
+        line = F.expr(f"substr(value, instr(value, '{NAME_END}') + 1)")
     text = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        file.alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
-        F.regexp_replace("value", "^﻿", "").alias("line"),
+        F.when(line.startswith(BOM), F.substr(line, F.lit(2))).otherwise(line).alias("line"),
     )
     return text
 
 
+def write_bundles(lines: DataFrame, folder: str) -> None:
+    """Statements (path, line_no, line) as bundles. A line that holds line ends is written as several lines, as it would be in a file
+    of its own (a last carriage return goes with the end of the line)."""
+    named = lines.withColumn("path", F.url_encode(F.coalesce("path", F.lit(""))))
+    rows = named.repartition("path").sortWithinPartitions("path", "line_no")
+    texts = F.explode(F.split(F.coalesce("line", F.lit("")), r"\r\n|\n|\r(?!\z)", -1)).alias("text")
+    rows.select("path", texts).select(F.concat_ws(NAME_END, "path", "text").alias("value")).write.text(folder)
+
+
+def statement_name(path: Column) -> Column:
+    """The name that a bundled statement was written by."""
+    return F.url_decode(F.substring_index(path, IN_FILE, 1))
+
+
 def _is_header(line: Column) -> Column:
     return line.contains(HEADER_MARKS[0]) & line.contains(HEADER_MARKS[1])
 
@@ -96,11 +122,14 @@ def cells(line: Column) -> Column:
     return F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1))
 
 
+def _bare(raw: Column) -> Column:
+    """The text of a cell; NULL if it is empty or the line is too short."""
+    quoted = raw.startswith('"') & raw.endswith('"') & (raw != '"')
+    return F.when(quoted, F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).when(raw != "", raw)
+
+
 def _cell(name: str) -> Column:
-    """The cell in the column's place; NULL if it is empty or the line is too short."""
-    raw = F.nullif(F.get("_cells", F.col(f"_at.{name}") - 1), F.lit(""))
-    quoted = (F.length(raw) > 1) & raw.startswith('"') & raw.endswith('"')
-    return F.when(quoted, F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    return F.get("_cells", F.lit([*WALLET_COLUMNS.values()].index(name)))
 
 
 def _number(name: str) -> Column:
@@ -114,9 +143,13 @@ def wallet_rows(lines: DataFrame) -> DataFrame:
     # Kept an outer join on purpose: as an inner one it might broadcast the lines, not the headers.
     below = F.coalesce(F.col("line_no") > F.col("header_no"), F.lit(False))
     body = with_headers(lines).filter(below & (F.trim("line") != ""))
-    # A generator, so that a line is split once and not once per field taken from it.
-    split = F.array(cells(F.rtrim(F.regexp_replace("line", "\r$", ""))))
-    rows = body.select("*", F.explode(split).alias("_cells"))
+    # Generators, so that a line is split once and not once per field taken from it, and a cell is read once and not in each
+    # of its field's steps: written out in every step, the code of a row is too long to be compiled.
+    whole = F.when(F.col("line").contains("\r"), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line"))
+    rows = body.select("path", "line_no", "_at", F.explode(F.array(cells(F.rtrim(whole)))).alias("_split"))
+    places = F.array(*[F.col(f"_at.{name}") for name in WALLET_COLUMNS.values()])
+    raw = F.transform(places, lambda place: F.get("_split", place - 1))
+    rows = rows.select("path", "line_no", "_at", F.explode(F.array(F.transform(raw, _bare))).alias("_cells"))
     one = F.col("_at.direction").isNotNull()
     signed = _number("amount")
     debit = F.upper(F.trim(_cell("direction"))) == "DEBIT"
@@ -183,9 +216,9 @@ def preamble(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_wallet_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and preambles of the files under a path; quoted cells may span lines."""
-    lines = whole_records(read_lines(spark, path))
+def read_wallet_csv(spark: SparkSession, path: str, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows and preambles of the files (or bundled statements) under a path; quoted cells may span lines."""
+    lines = materialise(whole_records(read_lines(spark, path, bundled)), "whole_records")
     return parse_wallet(lines), preamble(lines)
 
 

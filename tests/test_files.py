@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import re
+from collections import Counter
 from pathlib import Path
 
 from ledgerproof.operators import explore, lineage
@@ -99,6 +101,37 @@ def test_landing_query_writes_few_files(spark):
     assert runs > len([f for f in (made / "in").rglob("part-*")])
 
 
+def test_wallet_files_query_writes_few_files(spark, tmp_path):
+    """Statements are written many to a file, and all their rows come back."""
+    orders = spark.range(900).selectExpr(
+        "id AS o_orderkey", "id % 450 AS o_custkey", "CASE WHEN id % 3 = 0 THEN 'O' ELSE 'F' END AS o_orderstatus", "1000.25D + id AS o_totalprice",
+        "TIMESTAMP '2024-05-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 200 AS INT)) AS o_orderdate", "'2-HIGH' AS o_orderpriority")
+    events = spark.range(10).selectExpr("id AS event_id", "TIMESTAMP '2024-05-01 00:00:00' AS ts", "id % 2 AS user_id", "'click' AS event_type", "5.0D AS value", "'{}' AS props")
+    nation = spark.range(25).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name")
+    for name, df in {"orders": orders, "events": events, "nation": nation}.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = set(Path(shared_dir(spark)).glob("wallet-*"))
+    rows = QUERIES["s1_wallet_files"](spark, str(tmp_path)).collect()
+    (made,) = set(Path(shared_dir(spark)).glob("wallet-*")) - before
+    assert len({r.run_id for r in rows}) == 90 > 8 >= len([f for f in made.rglob("part-*")])
+    assert all(",\nsaid" in r.description for r in rows)
+    expected = {r.path: r.n for r in QUERIES["s1_wallet_csv"](spark, str(tmp_path)).groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert Counter(r.run_id for r in rows) == expected
+
+
+def test_parser_code_is_short_enough_to_be_compiled(spark, tmp_path):
+    """Above 8,000 bytes a method is interpreted for good."""
+    (tmp_path / "a.csv").write_bytes(FILE.encode())
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = S.parse_wallet(S.read_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan))
+    assert sizes and max(map(int, sizes)) < 8000
+
+
 def test_fingerprint_keeps_values_apart(spark):
     rows = [("A", 1, "x,y", "z"), ("B", 1, "x", "y,z"), ("C", 1, None, "z"), ("D", 1, "", "z"), ("E", 1, "-", "z")]
     df = spark.createDataFrame(rows, "run_id string, seq long, t string, u string")

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerproof.sources import records as records_module
 from ledgerproof.sources import statements as S
 from ledgerproof.sources.records import whole_records
 
@@ -62,6 +63,49 @@ def test_unclosed_cell_leaves_lines(spark, tmp_path, tiny_splits):
     assert read(spark, tmp_path)["f.csv"] == body
 
 
+def test_records_of_whole_files(spark, tmp_path):
+    """Files that lie within one split: as the csv module reads them, and as the way across splits does."""
+    rnd = random.Random(5)
+    for i in range(30):
+        records = [",".join(cell(rnd) for _ in range(rnd.randrange(1, 5))) for _ in range(12)]
+        (tmp_path / f"f{i}.csv").write_bytes("\n".join(records + (['x,"never closed', "one", "", "two,2"] if i % 5 == 0 else [])).encode())
+    lines = S.read_lines(spark, str(tmp_path))
+    assert lines.select("path", "line_no.block").distinct().count() == 30
+    got = read(spark, tmp_path)
+    for i in (i for i in range(30) if i % 5):
+        text = (tmp_path / f"f{i}.csv").read_bytes().decode().replace("\r\n", "\n")
+        assert [next(csv.reader(io.StringIO(r, newline=""))) for r in got[f"f{i}.csv"] if r] == [row for row in csv.reader(io.StringIO(text, newline="")) if row], i
+    assert all(got[f"f{i}.csv"][-4:] == ['x,"never closed', "one", "", "two,2"] for i in range(0, 30, 5))
+    plain = lambda df: sorted((r.path, r.line_no.block, r.line_no.row, r.line) for r in df.collect())
+    assert plain(records_module._within_splits(lines)) == plain(records_module._stitched(lines))
+
+
+@pytest.mark.parametrize("edges", [False, True])
+def test_bundled_statements_read_like_files(spark, tmp_path, request, edges):
+    """Many statements to a file give the records that a file per statement gives, also across split edges."""
+    if edges:
+        request.getfixturevalue("tiny_splits")
+    rnd, rows = random.Random(11), []
+    odd = ["\ufeffstart", "a\tb,@", "ends\r", "", "x\r\ny", "one\rtwo", None]
+    for i, name in enumerate(["plain", "a b", "50%", "t\tab@x", "é"] + [f"R{k}" for k in range(40)]):
+        texts = [",".join(cell(rnd) for _ in range(rnd.randrange(1, 4))) for _ in range(8)] if i else ["no,quotes", "here"]
+        texts = texts + odd + (['x,"never closed', "one"] if i % 7 == 3 else [])
+        rows += [(name, n, text) for n, text in enumerate(texts)]
+        # The same statement as a file of its own.
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{i}.csv").write_bytes("".join(f"{text or ''}\n" for text in texts).encode())
+    df = spark.createDataFrame(rows, "path string, line_no long, line string").repartition(6)
+    S.write_bundles(df, str(tmp_path / "bundles"))
+    names = list(dict.fromkeys(r[0] for r in rows))
+    assert len(list((tmp_path / "bundles").glob("part-*"))) <= 8 < len(names)
+    own = read(spark, tmp_path / "files")
+    bundled = whole_records(S.read_lines(spark, str(tmp_path / "bundles"), bundled=True)).orderBy("path", "line_no")
+    got = {}
+    for name, line in bundled.select(S.statement_name(F.col("path")), "line").collect():
+        got.setdefault(name, []).append(line)
+    assert got == {name: own[f"{i}.csv"] for i, name in enumerate(names)}
+
+
 def test_wallet_rows_like_duckdb(spark, tmp_path, tiny_splits):
     duckdb = pytest.importorskip("duckdb")
     rnd = random.Random(9)
